@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, simhash, token_files, topk, toxicity
+from . import decontaminate, line_dedup, quality, sharding, simhash, token_files, topk, toxicity
 from .common import read
 
 
@@ -21,6 +21,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"), width=3, radius=3)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_round_trip(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -46,7 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_topk": OP8}
+    return {"op5_line_dedup": OP5, "op8_exact_topk": OP8}
 
 
 OP8 = """
@@ -63,3 +71,26 @@ WITH v AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
 """
+
+OP5 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(doc_id, -9223372036854775808) AS doc, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), e AS (SELECT rid, doc, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM d),
+t AS (
+  SELECT rid, doc, l, i, CASE WHEN trim(l, ' ' || chr(9) || chr(13)) = '' THEN NULL ELSE
+    list_transform(string_split_regex(trim(l, ' ' || chr(9) || chr(13)), '[ \t]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) END AS ws
+  FROM e
+), m AS (SELECT *, concat_ws(' ', len(ws), array_to_string(ws[1:3], ' ')) AS leaf, array_to_string(ws, ' ') AS line FROM t),
+k AS (
+  SELECT leaf, line, any_value(ws) AS ws, count(DISTINCT rid) AS docs, min(doc) AS first FROM m WHERE ws IS NOT NULL GROUP BY leaf, line
+), o AS (
+  SELECT leaf, min(first) AS leaf_first FROM k GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= 3 AND max(len(ws)) >= 5
+), p AS (SELECT leaf, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM k WHERE leaf IN (SELECT leaf FROM o)),
+f AS (SELECT leaf, pos, (count(DISTINCT w) = 1)::INT AS same FROM p GROUP BY leaf, pos),
+g AS (SELECT leaf, leaf_first FROM o WHERE leaf IN (SELECT leaf FROM f GROUP BY leaf HAVING sum(same) >= 0.7 * count(*))),
+r AS (SELECT k.line, coalesce(g.leaf_first, k.first) AS first FROM k LEFT JOIN g USING (leaf) WHERE g.leaf IS NOT NULL OR docs >= 3),
+s AS (SELECT m.rid, m.i, m.l, r.line IS NOT NULL AND m.doc <> r.first AS gone FROM m LEFT JOIN r ON m.line = r.line AND m.ws IS NOT NULL)
+SELECT any_value(d.doc_id) AS doc_id, coalesce(string_agg(s.l, chr(10) ORDER BY s.i) FILTER (NOT gone), '') AS text,
+  CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_dropped
+FROM s JOIN d USING (rid) GROUP BY rid
+"""
