@@ -16,9 +16,12 @@ no given order; empty tables give no file and an empty result. Other columns are
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,23 +41,28 @@ FRAME_IDS, PIECE_IDS, END_ID = 1 << 16, 1 << 20, 2
 NO_ID, MORE = 1, 2
 
 
+def _class(kinds: str) -> str:
+    """Members of a regex class: characters of the plain range whose Unicode category starts with one of these letters."""
+    return "".join(re.escape(c) for c in map(chr, PLAIN) if unicodedata.category(c)[0] in kinds)
+
+
+#: Characters whose classes no Unicode version disputes: printable ASCII, Latin-1 and the Latin extensions.
+PLAIN = [*range(0x20, 0x7F), *range(0xA1, 0x250)]
+ENCODERS: dict[str, Encoder] = {}
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them, as little-endian uint32 bytes.
 
     A byte-level BPE cuts a text by a fixed pattern and encodes each cut on its own. For texts of plain characters,
-    whose classes no Unicode version disputes, the cuts are made here and the library's ids of each are remembered;
-    any other text or kind of tokenizer goes to the library whole.
+    the cuts are made here and the library's ids of each are remembered; any other text or kind of tokenizer goes to
+    the library whole.
     """
 
-    #: The fixed pattern of byte-level BPE.
-    CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
-
-    def __init__(self, path: str, keep: int = 150_000):
-        import os
+    ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
 
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -62,11 +70,36 @@ class Encoder:
         made = json.loads(self.lib.to_str())
         pre = made.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer")
-        self.cut = regex.compile(self.CUTS).findall if plain else None
+        letter, digit = _class("L"), _class("N")
+        # The fixed pattern of byte-level BPE, for plain characters.
+        cuts = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?[^ \t\n\r{letter}{digit}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
+        self.cut = re.compile(cuts).findall if plain else None
         self.keep, self.new, self.old = keep, {}, {}
+        self.line = np.frombuffer(b"".join(self.library(["\n"])), "<u4")
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """One for each worker process, which serves many tasks."""
+        if path not in ENCODERS:
+            ENCODERS[path] = cls(path)
+        return ENCODERS[path]
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, cuts: list[str]) -> list[bytes]:
+        """Ids of single cuts. Those without a line break are encoded as the lines of one text, as a line break is always a cut of its own there."""
+        plain = [c for c in cuts if not c.isspace()] if len(self.line) == 1 else []
+        found: dict[str, bytes] = {}
+        if plain:
+            ids = np.array(self.lib.encode("\n".join(plain), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
+            if len(ends) == len(plain):
+                raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
+                found = {c: raw[4 * s : 4 * e] for c, s, e in zip(plain, starts.tolist(), ends.tolist())}
+        rest = [c for c in cuts if c not in found]
+        found.update(zip(rest, self.library(rest)) if rest else ())
+        return [found[c] for c in cuts]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.cut is None:
@@ -87,10 +120,10 @@ class Encoder:
         fresh = list(lacking)
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
-            self.new.update(zip(part, self.library(part)))
-        of = self.new.__getitem__
+            self.new.update(zip(part, self.pieces(part)))
+        ids = self.new.__getitem__
         for i, c in cuts.items():
-            out[i] = b"".join(map(of, c))
+            out[i] = b"".join(map(ids, c))
         return out
 
 
@@ -192,7 +225,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = END_I
     """Files in doc_id order; the manifest (part, uri, docs, tokens)."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, out = Encoder(tokenizer), TaskContext.get(), None
+        encode, task, out = Encoder.of(tokenizer), TaskContext.get(), None
         fs, root = place_of(path)
         end, n_docs, n_ids = b"" if end_id is None else struct.pack("<I", end_id), 0, 0
         final = f"{root}/part-{task.partitionId():06d}.zst"
