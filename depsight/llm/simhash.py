@@ -14,15 +14,15 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, connected_components, cut, id_text, sorted_runs
+from .common import batches, connected_components, cut, id_text, sorted_runs, spool
 
 BITS, SEED = 64, 42
 CELL = 512  # members of one salt of a hot bucket
@@ -58,19 +58,19 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
+def bit_moments(fps: DataFrame, column: str) -> tuple[int, np.ndarray]:
     """Number of fingerprints and the 64x64 counts of bits set together, over all of them."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, both = 0, np.zeros((BITS, BITS), np.int64)
         for b in batches(it, 8192):
-            x = np.unpackbits(b.column("fp").to_numpy().astype(">i8").view(np.uint8)).reshape(-1, BITS)[:, ::-1].astype(np.float32)
+            x = np.unpackbits(b.column(column).to_numpy().astype(">i8").view(np.uint8)).reshape(-1, BITS)[:, ::-1].astype(np.float32)
             n, both = n + len(x), both + (x.T @ x).astype(np.int64)
         if n:
             i, j = np.triu_indices(BITS)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(i * BITS + j, -1)), pa.array(np.append(both[i, j], n))], ["ij", "n"])
 
-    rows = fps.select("fp").mapInArrow(run, "ij long, n long").groupBy("ij").agg(F.sum("n").alias("n")).collect()  # at most 2081
+    rows = fps.select(column).mapInArrow(run, "ij long, n long").groupBy("ij").agg(F.sum("n").alias("n")).collect()  # at most 2081
     both, n = np.zeros((BITS, BITS)), 0
     for ij, c in rows:
         if ij < 0:
@@ -150,6 +150,11 @@ def masks(plan: list[tuple[list[int], int]]) -> list[int]:
     return out
 
 
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits that differ, over the words of each row."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
+
+
 def forest(fp: np.ndarray, rep: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges of a spanning forest of the fingerprints within the radius; what is reached is not compared again."""
     edges = []
@@ -157,7 +162,7 @@ def forest(fp: np.ndarray, rep: np.ndarray, radius: int) -> list[tuple[np.ndarra
         frontier, fp, rep = [(fp[0], rep[0])], fp[1:], rep[1:]
         while frontier and len(fp):
             at, who = frontier.pop()
-            near = np.bitwise_count(fp ^ at) <= radius
+            near = apart(fp, at) <= radius
             if near.any():
                 edges.append((np.full(int(near.sum()), who), rep[near]))
                 frontier += zip(fp[near], rep[near])
@@ -165,34 +170,30 @@ def forest(fp: np.ndarray, rep: np.ndarray, radius: int) -> list[tuple[np.ndarra
     return edges
 
 
-def links(reps: DataFrame, radius: int) -> DataFrame:
-    """(u, v): edges that connect all distinct fingerprints within the radius. reps: (fp, rep), fp distinct."""
-    n, both = bit_moments(reps)
-    spark = reps.sparkSession
-    if n < 2:
-        return spark.createDataFrame([], "u long, v long")
-    all_masks = masks(allocate(n, both, radius))
-    keyed = reps.select("fp", "rep", F.explode(F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(all_masks)])).alias("key"))
-    counts = cut(keyed.groupBy("key").count().where("count > 1"))
+def links(reps: DataFrame, columns: list[str], keys: list[Column], radius: int) -> DataFrame:
+    """(u, v): edges that connect the candidates within the radius. reps: rep and the fingerprint's words, distinct; candidates share a key."""
+    keyed = reps.select("rep", *columns, F.explode(F.array(*keys)).alias("key"))
+    counts = spool(keyed.groupBy("key").count().where("count > 1"))
     cells = F.ceil(F.col("count") / CELL).cast("int")
     salted = (
         keyed.join(counts, "key")
-        .select("fp", "rep", "key", cells.alias("g"), F.pmod(F.xxhash64("fp"), cells).cast("int").alias("s"))
-        .select("fp", "rep", "key", F.explode(F.expr("transform(sequence(0, g - 1), t -> named_struct('a', least(s, t), 'b', greatest(s, t)))")).alias("c"))
-        .select("fp", "rep", F.xxhash64("key", "c.a", "c.b").alias("cell"))
+        .select("rep", *columns, "key", cells.alias("g"), F.pmod(F.xxhash64(*columns), cells).cast("int").alias("s"))
+        .select("rep", *columns, "key", F.explode(F.expr("transform(sequence(0, g - 1), t -> named_struct('a', least(s, t), 'b', greatest(s, t)))")).alias("c"))
+        .select("rep", *columns, F.xxhash64("key", "c.a", "c.b").alias("cell"))
     )
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in sorted_runs(it, "cell"):
-            cell, fp, rep = c["cell"], c["fp"].view(np.uint64), c["rep"]
+            cell, rep, fp = c["cell"], c["rep"], np.stack([c[n].view(np.uint64) for n in columns], axis=1)
             starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
             sizes = np.diff(np.append(starts, len(cell)))
             out = []
             small = np.repeat(sizes <= 6, sizes)
-            for d in range(1, 6):
-                near = small[:-d] & (cell[d:] == cell[:-d]) & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= radius)
-                if near.any():
-                    out.append((rep[:-d][near], rep[d:][near]))
+            for d in range(1, min(6, len(cell))):
+                pair = np.flatnonzero(small[:-d] & (cell[d:] == cell[:-d]))
+                pair = pair[apart(fp[pair + d], fp[pair]) <= radius]
+                if len(pair):
+                    out.append((rep[pair], rep[pair + d]))
             for s, k in zip(starts[sizes > 6], sizes[sizes > 6]):
                 out += forest(fp[s : s + k], rep[s : s + k], radius)
             if out:
@@ -201,10 +202,108 @@ def links(reps: DataFrame, radius: int) -> DataFrame:
     return salted.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
 
+def grouped(prints: DataFrame, columns: list[str], keys: Callable[[DataFrame], list[Column]], radius: int) -> DataFrame:
+    """The rows of prints with component_id, the smallest doc_id that links reach."""
+    reps = cut(prints.groupBy(*columns).agg(F.min("doc_id").alias("rep")))
+    known = reps.where("rep is not null")
+    found = connected_components(links(known, columns, keys(known), radius))
+    classes = spool(reps.join(found, reps["rep"] == found["node"], "left").select(*columns, F.coalesce("component", "rep").alias("component_id")))
+    return prints.join(classes, columns)
+
+
 def components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
-    fps = cut(fingerprints(docs, width))
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(links(reps.where("rep is not null"), radius))
-    known = cut(reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+    def keys(reps: DataFrame) -> list[Column]:
+        plan = allocate(*bit_moments(reps, "fp"), radius)
+        return [F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(masks(plan))]
+
+    out = grouped(cut(fingerprints(docs, width)), ["fp"], keys, radius)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near-duplicate stage: words of a wide fingerprint, partitions of each, words in a shingle, similarity, chance to find a pair at it.
+WORDS, PARTS, WIDTH, SIMILAR, FOUND = 8, 4, 5, 0.8, 0.92
+
+
+def wide_print(text: str, width: int = WIDTH, words: int = WORDS) -> np.ndarray:
+    """Independent SimHashes of a text's shingles, one for each word."""
+    parts = shingles(text, width)
+    if not parts:
+        return np.zeros(words, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(s, SEED) for s in parts), np.uint64, len(parts))
+    total = np.zeros(words * BITS, np.int64)
+    steps = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 255):
+        x = h[at : at + 255, None] + steps
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        total += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(parts)).view(np.uint64)
+
+
+def wide_prints(docs: DataFrame, width: int = WIDTH, words: int = WORDS) -> DataFrame:
+    names = [f"p{k}" for k in range(words)]
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            x = np.stack([wide_print(t, width, words) for t in b.column("text").to_pylist()]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(words))], ["doc_id", *names])
+
+    return id_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+
+def most_apart(similar: float, bits: int, spare: float = 0.8) -> int:
+    """Bits in which texts of this Jaccard similarity differ, and spare standard deviations more."""
+    p = math.acos(2 * similar / (1 + similar)) / math.pi
+    return int(bits * p + spare * math.sqrt(bits * p * (1 - p)))
+
+
+def probes(n: int, moments: list[np.ndarray], similar: float = SIMILAR, found: float = FOUND) -> list[list[tuple[int, list[int]]]]:
+    """Keys as lists of (word, bits). Each word's bits are dealt into PARTS correlated partitions, each a key: by the
+    pigeonhole, they find all pairs within PARTS - 1 bits in any word. Where there are so many fingerprints that a key
+    would be shared by many, keys take bits of the next partition along, and there are as many more of them as keep
+    the chance to find a pair at the similarity."""
+    each = [(w, g) for w, both in enumerate(moments) for g in group_bits(n, both, PARTS)]
+    size = len(each[0][1])
+    more = max(0, math.ceil(math.log2(max(n, 1)) - size - 2))
+    p = 1 - math.acos(2 * similar / (1 + similar)) / math.pi
+    wanted = max(len(each), math.ceil(math.log(1 - found) / math.log(1 - p ** (size + more)))) if more else len(each)
+    rng, out = np.random.default_rng(SEED), []
+    for k in range(wanted):
+        w, g = each[k % len(each)]
+        key = [(w, g)]
+        if more:
+            v, other = each[(k % len(each) + 1 + int(rng.integers(len(each) - 1))) % len(each)]
+            key.append((v, sorted(rng.choice(other, min(more, len(other)), replace=False).tolist())))
+        out.append(key)
+    return out
+
+
+def _mask(bits: list[int]) -> int:
+    m = sum(1 << b for b in bits)
+    return m - (1 << BITS) if m >= 1 << (BITS - 1) else m
+
+
+def near_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, component_id of near-duplicates: texts whose wide fingerprints differ in no more bits than texts of this similarity do."""
+    names = [f"p{k}" for k in range(WORDS)]
+
+    def keys(reps: DataFrame) -> list[Column]:
+        moments = [bit_moments(reps, c) for c in names]
+        plan = probes(moments[0][0], [m[1] for m in moments], similar)
+        return [F.xxhash64(F.lit(i), *(F.col(names[w]).bitwiseAND(F.lit(_mask(g))) for w, g in key)) for i, key in enumerate(plan)]
+
+    prints = spool(wide_prints(docs, width))
+    return grouped(prints, names, keys, most_apart(similar, WORDS * BITS)).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """The documents without near-duplicates of a smaller doc_id, all columns kept; rows of one doc_id are one document,
+    and rows of null doc_id stay unless a document with an id is like them."""
+    gone = spool(near_groups(docs, width, similar).where("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct())
+    if gone.where("doc_id is null").limit(1).count():
+        docs = docs.where("doc_id is not null")
+    return docs.join(gone.where("doc_id is not null"), "doc_id", "left_anti").select(*docs.columns)
