@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import when_ms
 from ..schema import Graph
+from ..sources.scratch import checkpointed
 from .attrs import severity, with_attributes
 from .dependencies import two_hops
 
@@ -96,7 +97,7 @@ def skeleton(df: DataFrame, columns: list[str], level: float = 0.05, yates: bool
 
     All tests share one histogram of the columns. Edges point along the order of the columns.
     """
-    h = histogram(df, columns).cache()
+    h = checkpointed(histogram(df, columns))
     near = {c: {d for d in columns if d != c} for c in columns}
     size = 0
     while any(len(near[c]) - 1 >= size for c in columns):
@@ -109,17 +110,16 @@ def skeleton(df: DataFrame, columns: list[str], level: float = 0.05, yates: bool
                 near[x].discard(y)
                 near[y].discard(x)
         size += 1
-    h.unpersist()
     return [(x, y) for x, y in combinations(columns, 2) if y in near[x]]
 
 
 def bic(df: DataFrame, edges: list[tuple[str, str]], columns: list[str] | None = None) -> DataFrame:
     """node, score: local BIC of each column given its parents; no row without edges."""
     columns = columns or list(dict.fromkeys(c for e in edges for c in e))
-    out = None
+    out, df = None, checkpointed(histogram(df, columns)) if edges else df
     for v in columns if edges else []:
         pa = [x for x, y in edges if y == v]
-        joint = df.groupBy(*pa, v).agg(F.count("*").alias("n"))
+        joint = df.groupBy(*pa, v).agg(F.sum("n").alias("n"))
         base = joint.groupBy(*pa).agg(F.sum("n").alias("m")) if pa else joint.agg(F.sum("n").alias("m"))
         fit = (joint.join(base, pa) if pa else joint.crossJoin(F.broadcast(base))).agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("m"))).alias("ll"), F.sum("n").alias("total"))
         states = df.agg(F.countDistinct(v).alias("r"), *[F.countDistinct(p).alias(f"q{i}") for i, p in enumerate(pa)])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import freshness, min_max, pearson, whole, z_score
 from ..schema import Graph
+from ..sources.scratch import checkpointed
 from .attrs import quantities, severity, with_attributes
 from .degree import in_out
 
@@ -38,7 +39,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def average_weight(df: DataFrame, features: list[str] | None = None, target: str = "outdegree", factor: float = FACTOR) -> DataFrame:
     """Adds weight: features weighted by their share of absolute correlation with the target (equal if there is none), scaled to 0..factor."""
-    features = list(features or FEATURES)
+    features, df = list(features or FEATURES), checkpointed(df)  # read three times
     one = df.agg(*[F.coalesce(F.abs(pearson(f, target)), F.lit(0.0)).alias(f"__c{i}") for i, f in enumerate(features)])
     total = sum((F.col(f"__c{i}") for i in range(len(features))), F.lit(0.0))
     one = one.select(*[F.when(total > 0, F.col(f"__c{i}") / total).otherwise(1.0 / len(features)).alias(f"__w{i}") for i in range(len(features))])
@@ -50,7 +51,7 @@ def average_weight(df: DataFrame, features: list[str] | None = None, target: str
 
 def correlated_weight(df: DataFrame, features: list[str] | None = None, target: str | None = "outdegree") -> DataFrame:
     """Adds weight: the sum of features times their correlation with the target; with target None with themselves, which is 1 or, for a constant, null."""
-    features = list(features or FEATURES)
+    features, df = list(features or FEATURES), checkpointed(df)  # read twice
     one = df.agg(*[pearson(f, target or f).alias(f"__c{i}") for i, f in enumerate(features)])
     terms = [F.coalesce(F.col(f"__c{i}"), F.lit(0.0)) if target else F.col(f"__c{i}") for i in range(len(features))]
     return df.crossJoin(F.broadcast(one)).select(*df.columns, sum((F.col(f) * t for f, t in zip(features, terms)), F.lit(0.0)).alias("weight"))

@@ -809,11 +809,6 @@ def m16(s: DataFrame) -> DataFrame:
 # ---- whole drivers
 
 
-@register("d_centrality_driver")
-def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drivers.centrality_report(package_graph(spark, sf_dir), rounds=200)
-
-
 @on_graph("d_dependency_driver", J5 + " WHERE t.release IN (SELECT owner FROM strict)")
 def d2(g: Graph) -> DataFrame:
     return drivers.dependency_graph(g)
