@@ -16,61 +16,65 @@ doc_id come before all others; empty tables give an empty result; other columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import spool
 
 MIN_DOCS, LEAD, MIN_TOKENS, ALIKE = 3, 3, 5, 0.7
 NO_ID = -(1 << 63)
 
-#: Lines of a text as structs: leaf and masked line as hashes, tokens as 16-bit hashes; blank lines are null.
+#: Tokens of a trimmed line; the plain split is the fast one.
+_TOKENS = "if(instr(t, '  ') > 0 or instr(t, '\t') > 0, split(t, '[ \t]+'), split(t, ' '))"
+#: Masked tokens: the wildcard for each that holds a digit.
+_MASKED = f"if(t rlike '[0-9]', transform({_TOKENS}, w -> if(w rlike '[0-9]', '<*>', w)), {_TOKENS})"
+#: Leaf and masked line of each line of a text, as hashes, in order; blank lines are null.
 _LINES = f"""
-transform(split(coalesce(text, ''), '\\n', -1), l -> transform(array(trim(BOTH ' \\t\\r' FROM l)), t -> if(t = '', null,
-  transform(array(transform(split(t, '[ \\t]+'), w -> if(w rlike '[0-9]', '<*>', w))), ws ->
-    named_struct('leaf', xxhash64(size(ws), slice(ws, 1, {LEAD})), 'line', xxhash64(ws), 'sig', {{sig}}))[0]))[0])
+transform(transform(split(text, '\n', -1), l -> trim(BOTH ' \t\r' FROM l)), t -> if(t = '', null,
+  transform(array({_MASKED}), ws -> named_struct('leaf', xxhash64(size(ws), slice(ws, 1, {LEAD})), 'line', xxhash64(ws)))[0]))
 """
-_SIG = "transform(ws, w -> cast(pmod(xxhash64(w), 65536) - 32768 as smallint))"
-
-
-def _parsed(sig: bool) -> Column:
-    return F.expr(_LINES.format(sig=_SIG if sig else "cast(null as array<smallint>)"))
+#: Tokens of the wanted lines, as 16-bit hashes.
+_SIGNED = f"""
+transform(filter(arrays_zip(l, ls), x -> x.ls is not null and array_contains(wanted, x.ls.line)),
+  x -> named_struct('leaf', x.ls.leaf, 'line', x.ls.line, 'sig', transform(array(trim(BOTH ' \t\r' FROM x.l)), t -> transform({_MASKED}, w -> cast(pmod(xxhash64(w), 65536) - 32768 as smallint)))[0]))
+"""
+_KEY = ("doc", "th")
 
 
-def _key(df: DataFrame) -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc and th identify a row by its id and text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"), F.struct("*").alias("row"))
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, alike: float = ALIKE) -> DataFrame:
+def _recurring(texts: DataFrame, parsed: DataFrame, min_docs: int, alike: float) -> DataFrame:
     """line (hash of a masked line), first (the document that keeps it): lines of recurring templates."""
-    once = docs.select(_key(docs).alias("doc"), F.array_distinct(F.filter(_parsed(True), lambda x: x.isNotNull())).alias("ls"))
-    lines = once.select("doc", F.explode("ls").alias("l")).select("doc", "l.*")
-    known = cut(lines.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.first("sig").alias("sig")).where("docs > 0"))
-    leaves = known.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("lines"), F.min("first").alias("leaf_first"), F.max(F.size("sig")).alias("n"))
-    open_leaves = cut(leaves.where((F.col("lines") > 1) & (F.col("leaf_docs") >= min_docs) & (F.col("n") >= MIN_TOKENS)))
-    spots = known.join(open_leaves.select("leaf"), "leaf").select("leaf", F.posexplode("sig").alias("at", "w"))
+    lines = parsed.select(*_KEY, F.explode(F.array_distinct(F.filter("ls", lambda x: x.isNotNull()))).alias("l")).select(*_KEY, "l.*")
+    known = spool(lines.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct(*_KEY)).alias("one")))
+    leaves = known.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("lines"), F.min("one.doc").alias("leaf_first"))
+    open_leaves = spool(leaves.where((F.col("lines") > 1) & (F.col("leaf_docs") >= min_docs)))
+    wanted = spool(known.join(open_leaves.select("leaf"), "leaf").groupBy("one.doc", "one.th").agg(F.collect_set("line").alias("wanted")))
+    asked = spool(parsed.dropDuplicates(_KEY).join(wanted, [*_KEY]))
+    sigs = texts.select(*_KEY, "text").join(asked, [*_KEY]).withColumn("l", F.split("text", "\n", -1)).select(F.explode(F.expr(_SIGNED)).alias("x")).select("x.*").where(F.size("sig") >= MIN_TOKENS)
+    spots = sigs.select("leaf", F.posexplode("sig").alias("at", "w"))
     fixed = spots.groupBy("leaf", "at").agg((F.min("w") == F.max("w")).cast("int").alias("same"))
     general = fixed.groupBy("leaf").agg(F.sum("same").alias("same"), F.count("*").alias("n")).where(F.col("same") >= alike * F.col("n")).select("leaf")
-    templates = cut(open_leaves.join(general, "leaf").select("leaf", "leaf_first"))
-    return known.join(templates, "leaf", "left").where(F.col("leaf_first").isNotNull() | (F.col("docs") >= min_docs)).select("line", F.coalesce("leaf_first", "first").alias("first"))
+    templates = spool(open_leaves.join(general, "leaf").select("leaf", "leaf_first"))
+    return known.join(templates, "leaf", "left").where(F.col("leaf_first").isNotNull() | (F.col("docs") >= min_docs)).select("line", F.coalesce("leaf_first", "one.doc").alias("first"))
 
 
 def dropped(docs: DataFrame, min_docs: int = MIN_DOCS, alike: float = ALIKE) -> DataFrame:
     """The input's columns in struct ``row``, with ``text`` cleaned, n_lines and n_dropped."""
-    lost = cut(recurring(docs, min_docs, alike))
-    held = docs.select(_key(docs).alias("doc"), F.array_distinct(F.filter(F.transform(_parsed(False), lambda x: x["line"]), lambda x: x.isNotNull())).alias("ls"))
-    each = cut(held.select("doc", F.explode("ls").alias("line")).distinct())
-    by_doc = cut(each.join(lost, "line").where("doc <> first").groupBy("doc").agg(F.collect_set("line").alias("gone")))
-    rows = docs.select(_key(docs).alias("doc"), F.struct("*").alias("row")).join(by_doc, "doc", "left")
-    pairs = rows.select("row", F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n", -1).alias("ls"), "gone", F.when(F.col("gone").isNotNull(), _hashes("row.text")).alias("hs"))
+    texts = _keyed(docs)
+    parsed = spool(texts.select(*_KEY, F.expr(_LINES).alias("ls")))
+    lost = spool(_recurring(texts, parsed, min_docs, alike))
+    each = parsed.select(*_KEY, F.explode(F.array_distinct(F.transform(F.filter("ls", lambda x: x.isNotNull()), lambda x: x["line"]))).alias("line"))
+    gone = spool(each.join(lost, "line").where("doc <> first").groupBy(*_KEY).agg(F.collect_set("line").alias("gone")))
+    by_doc = spool(parsed.dropDuplicates(_KEY).join(gone, [*_KEY]).select(*_KEY, "gone", F.transform("ls", lambda x: x["line"]).alias("hs")))
+    pairs = texts.join(by_doc, [*_KEY], "left").select("row", "text", F.split("text", "\n", -1).alias("ls"), "gone", "hs")
     stay = F.expr("transform(filter(arrays_zip(ls, hs), p -> p.hs is null or not array_contains(gone, p.hs)), p -> p.ls)")
-    left = F.when(F.col("gone").isNull(), F.col("ls")).otherwise(stay)
-    return pairs.select("row", F.when(F.col("gone").isNull(), F.coalesce(F.col("row.text"), F.lit(""))).otherwise(F.array_join(stay, "\n")).alias("text"), F.size("ls").alias("n_lines"), (F.size("ls") - F.size(left)).alias("n_dropped"))
-
-
-def _hashes(column: str) -> Column:
-    parsed = _LINES.replace("coalesce(text, '')", f"coalesce({column}, '')").format(sig="cast(null as array<smallint>)")
-    return F.transform(F.expr(parsed), lambda x: x["line"])
+    pairs = pairs.withColumn("stay", F.when(F.col("gone").isNotNull(), stay))
+    return pairs.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("stay", "\n")).alias("text"), F.size("ls").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("ls") - F.size("stay")).alias("n_dropped"))
 
 
 def report(docs: DataFrame, min_docs: int = MIN_DOCS, alike: float = ALIKE) -> DataFrame:
