@@ -8,7 +8,7 @@ which bounds what is sent to the executors; each block is merged by a grouped to
 
 Defined results: null vectors and vectors with null or non-finite components take no part; vectors of another length
 than the query's are no candidates; vec_id is the row's key, so rows of a query's own vec_id are not its candidates
-and a repeated query id is answered once (by its least vector); repeated candidate rows each count.
+and a repeated query id is answered once (by its least vector); repeated candidate rows each count; scores must fit a long.
 An empty table gives an empty result.
 """
 
