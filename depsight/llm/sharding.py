@@ -49,7 +49,7 @@ def shuffled(df: DataFrame, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> t
     perms = (
         counts.join(supers, "super")
         .withColumn("offset", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .repartition("bucket")
+        .repartition(max(1, -(-buckets // 64)), "bucket")  # a fixed number: these small rows cost much time each
         .withColumn("draws", F.expr(draws))
         .select("bucket", "offset", F.expr(fold).alias("perm"))
     )
