@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import count
 
@@ -58,7 +59,13 @@ class Lattice:
         self.joined = {p[k : k + 2] for p in self.table for k in range(len(p) - 1)}
         self.unknown = min((s for s in scores if s > -1e8), default=0.0) - 10
         self.free = not any(b[1] == SPACE and b[0] != SPACE for b in self.joined)
+        self.trie: dict = {}
         for p in list(self.table):
+            node = self.trie
+            for k, c in enumerate(p):
+                child, own = node.get(c, ({}, None))
+                node[c] = child, self.table[p] if k + 1 == len(p) else own
+                node = child
             for k in range(1, len(p)):
                 self.table.setdefault(p[:k], None)
         self.chunks = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall if self.free else lambda t: [t]
@@ -91,8 +98,7 @@ class Lattice:
                     out.append((i, j, (v[0],), v[1]))
                     single |= j == i + 1
             if not single:
-                c = SPACE if s[i] == LITERAL else s[i]
-                out.append((i, i + 1, tuple(self.bytes[b] for b in c.encode()), self.unknown))
+                out.append((i, i + 1, self._bytes(s[i]), self.unknown))
         return out
 
     def _forward(self, n: int, edges: list) -> tuple[list[float], list]:
@@ -104,24 +110,44 @@ class Lattice:
         return alpha, back
 
     def _part(self, s: str) -> tuple[bytes, float, float]:
-        """Best ids, their score and the loss of the second best."""
-        n = len(s)
-        if n == 1 and (v := self.table.get(s)):
-            return v[0].to_bytes(4, "little"), v[1], float("inf")
-        edges = self._edges(s)
-        alpha, back = self._forward(n, edges)
-        beta = [-float("inf")] * n + [0.0]
-        for e in reversed(edges):
-            x = e[3] + beta[e[1]]
-            if x > beta[e[0]]:
-                beta[e[0]] = x
-        path, at = [], n
+        """Best ids, their score and the loss of the second best, from one forward and one backward pass."""
+        n, worst, trie = len(s), -float("inf"), self.trie
+        alpha, came, edges = [0.0] + [worst] * n, [None] * (n + 1), []
+        for i in range(n):
+            a, node, single = alpha[i], trie, False
+            for j in range(i, n):
+                t = node.get(s[j])
+                if t is None:
+                    break
+                node, v = t
+                if v is not None:
+                    single |= j == i
+                    x = a + v[1]
+                    edges.append((i, j + 1, v[1], x))
+                    if x > alpha[j + 1]:
+                        alpha[j + 1], came[j + 1] = x, (i, v[0])
+            if not single:
+                x = a + self.unknown
+                edges.append((i, i + 1, self.unknown, x))
+                if x > alpha[i + 1]:
+                    alpha[i + 1], came[i + 1] = x, (i, -1)
+        ids, follows, at = [], {}, n
         while at:
-            path.append(back[at])
-            at = back[at][0]
-        on = set(map(id, path))
-        loss = min((alpha[n] - (alpha[e[0]] + e[3] + beta[e[1]]) for e in edges if id(e) not in on), default=float("inf"))
-        return np.array([i for e in reversed(path) for i in e[2]], "<i4").tobytes(), alpha[n], loss
+            i, piece = came[at]
+            follows[i] = at
+            ids.append(self._bytes(s[i])[::-1] if piece < 0 else (piece,))
+            at = i
+        best, loss, beta = alpha[n], float("inf"), [worst] * n + [0.0]
+        for i, j, score, x in reversed(edges):
+            rest = beta[j]
+            if follows.get(i) != j and best - x - rest < loss:
+                loss = best - x - rest
+            if score + rest > beta[i]:
+                beta[i] = score + rest
+        return array("i", [k for run in ids for k in run][::-1]).tobytes(), best, loss
+
+    def _bytes(self, c: str) -> tuple[int, ...]:
+        return tuple(self.bytes[b] for b in (SPACE if c == LITERAL else c).encode())
 
     def parts(self, chunk: str) -> list[str]:
         cuts = [0, *(k + 1 for k in range(len(chunk) - 1) if chunk[k : k + 2] not in self.joined), len(chunk)]
@@ -168,18 +194,17 @@ class Lattice:
         vary = set(heapq.nsmallest(n - 1, range(len(chunks)), key=lambda k: (losses[k], k)))
         return merge([self._best(c, n if k in vary else 1) for k, c in enumerate(chunks)], n)
 
-    def scores(self, chunks: list[str], best: float, n: int = N) -> list[float]:
-        """The scores of nbest, without its ids."""
-        whole, lost = self.whole, [0.0]
-        for c in heapq.nsmallest(n - 1, set(chunks), key=lambda c: (whole[c][2], c)):
-            if whole[c][2] == float("inf"):
-                break
-            if len(lost) == n and whole[c][2] >= lost[-1]:
-                break
-            own = self.lists[c] if n == N else self._best(c, n)
-            own = [own[0][0] - s for s, _ in own]
-            for _ in range(min(chunks.count(c), n - 1)):
-                lost = heapq.nsmallest(n, [a + b for a in lost for b in own])
+    def scores(self, chunks: list[str], got: list[tuple[bytes, float, float]], n: int = N) -> list[float]:
+        """The scores of nbest, without its ids; got: each chunk's best."""
+        losses, lost = [g[2] for g in got], [0.0]
+        least = sorted(losses)[: n - 1]
+        if least and least[0] < float("inf"):
+            for k in [k for k, x in enumerate(losses) if x <= least[-1]][: n - 1 + losses.count(least[-1])]:
+                if len(lost) == n and losses[k] >= lost[-1]:
+                    continue
+                own = self.lists[chunks[k]] if n == N else self._best(chunks[k], n)
+                lost = heapq.nsmallest(n, [a + own[0][0] - s for a in lost for s, _ in own])
+        best = sum([g[1] for g in got])
         return [best - x for x in lost]
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -215,7 +240,7 @@ def encode(docs: DataFrame, model: str, n: int = N) -> DataFrame:
                 ids = b"".join([g[0] for g in got])
                 raw.append(ids)
                 sizes.append(len(ids) // 4)
-                scores.append(lattice.scores(chunks, sum([g[1] for g in got]), n))
+                scores.append(lattice.scores(chunks, got, n))
                 back = lattice.decode(np.frombuffer(ids, "<i4").tolist())
                 crcs.append(zlib.crc32(back.encode()))
                 same.append(back == text)
