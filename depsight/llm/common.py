@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -54,16 +55,20 @@ def batches(it: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Record
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and forgets all but the latest generation."""
+    """A dict that computes what it lacks; at its limit it keeps what was asked since the limit before."""
 
-    def __init__(self, make: Callable, limit: int = 300_000):
+    def __init__(self, make: Callable, limit: int = 200_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -120,4 +125,16 @@ def spool(df: DataFrame, name: str = "spool") -> DataFrame:
     """Written to the shared folder as Parquet and read back: lineage ends, and later readers share one result."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.spooled = path
+    return out
+
+
+def free(*spooled: DataFrame) -> None:
+    """Delete spools that nothing will read again, and let Spark's cleaner drop the shuffle files of finished queries."""
+    jvm, conf = spooled[0].sparkSession.sparkContext._jvm, spooled[0].sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for df in spooled:
+        path = jvm.org.apache.hadoop.fs.Path(df.spooled)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()

@@ -14,7 +14,7 @@ one new segment that is made from the segment before, sequentially. Suffixes at
 prefix of LENGTH bytes or more start repeated strings. Collections stream from the sorted shuffle files in blocks of
 about BLOCK documents.
 
-Groups of more than HOT different contexts of one core do not meet in a task: their strings are compared as hashes of
+Groups of one core that hold more than a SHARE-th of all contexts (at least HOT), or more than MOST, do not meet in a task: their strings are compared as hashes of
 the bytes around the core, over pieces of the start places first, and start by start where pieces differ.
 
 Defined results: null is the empty text; texts under LENGTH bytes and empty texts keep all bytes; rows of equal text
@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, spool
+from .common import batches, free, spool
 
 LENGTH, CORE = 400, 100
 SIDE = LENGTH - CORE  # also the largest start place of a string in a context
-BLOCK, HOT, PIECE = 4096, 500, 43
+BLOCK, HOT, SHARE, MOST, PIECE = 4096, 500, 200, 20000, 43
 NO_ID = -(1 << 63)
 _R = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
@@ -195,12 +195,10 @@ def _hot(contexts: DataFrame) -> DataFrame:
     bytes_ = lambda before, after: f"substring(lead, greatest(length(lead) - ({before}), 0) + 1, {before}), least(length(lead), {before}), substring(tail, 1, {after}), least(length(tail), {after})"
     split = contexts.select("a", "s", "lead", "tail", F.expr(f"explode(sequence(0, {spans - 1}))").alias("r")).withColumns({"i0": F.col("r") * PIECE, "i1": F.least((F.col("r") + 1) * PIECE - 1, F.lit(SIDE))})
     pieces = spool(split.select("a", "s", "i0", "i1", F.expr(f"xxhash64(a, r, {bytes_(f'{SIDE} - i1', 'i0')})").alias("core"), F.expr(f"xxhash64(a, r, {bytes_(f'{SIDE} - i0', 'i1')})").alias("whole")))
-    groups = spool(pieces.groupBy("core", "whole").agg(F.count("*").alias("n")))
-    mixed = spool(groups.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"))
-    same = pieces.join(groups.where("n > 1"), ["core", "whole"]).select("a", "s", "i0", "i1")
-    edge = pieces.join(mixed, "core").join(groups.where("n = 1"), ["core", "whole"]).select("a", "s", "i0", "i1")
-    twins = pieces.join(mixed, "core").join(groups.where("n > 1"), ["core", "whole"]).dropDuplicates(["core", "whole"]).select("a", "s", "i0", "i1")
-    starts = edge.unionByName(twins).join(contexts, ["a", "s"]).select("a", "s", "lead", "tail", F.expr("explode(sequence(i0, i1))").alias("i"))
+    wholes = spool(pieces.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("a", "s", "i0", "i1")).alias("one")))
+    mixed = spool(wholes.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"))
+    same = pieces.join(spool(wholes.where("n > 1").select("core", "whole")), ["core", "whole"]).select("a", "s", "i0", "i1")
+    starts = wholes.join(mixed, "core").select("one.*").join(contexts, ["a", "s"]).select("a", "s", "lead", "tail", F.expr("explode(sequence(i0, i1))").alias("i"))
     starts = starts.where(F.expr(f"length(lead) >= {SIDE} - i AND length(tail) >= i")).select("a", "s", "i", F.expr(f"xxhash64(a, i, {bytes_(f'{SIDE} - i', 'i')})").alias("h"))
     starts = spool(starts)
     often = spool(starts.groupBy("h").count().where("count > 1").select("h"))
@@ -213,15 +211,23 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     rows = spool(_anchor_rows(texts))
     often = spool(rows.groupBy("a").count().where("count > 1").select("a"))
     members = spool(rows.join(often, "a"))
+    free(rows, often)
     kinds = spool(members.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("one")))
-    groups = spool(kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a", (F.col("kinds") > HOT).alias("hot")))
-    wanted = spool(kinds.join(groups, "a").select("one.doc", "one.th", F.struct("one.pos", "a", "s", "hot").alias("w")).groupBy("doc", "th").agg(F.collect_list("w").alias("wanted")))
+    groups = spool(kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    total = groups.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    hot = min(max(total // SHARE, HOT), MOST)
+    wanted = spool(kinds.join(groups, "a").select("one.doc", "one.th", F.struct("one.pos", "a", "s", (F.col("kinds") > hot).alias("hot")).alias("w")).groupBy("doc", "th").agg(F.collect_list("w").alias("wanted")))
     contexts = spool(_contexts(texts.join(wanted, ["doc", "th"]).select("text", "wanted")))
+    free(groups, wanted)
     all_starts = kinds.where("n > 1").select("a", "s", F.array(F.lit(-SIDE)).alias("lo"), F.array(F.lit(0)).alias("hi"))
     part = _collections(contexts.where("NOT hot")).unionByName(_hot(contexts.where("hot")))
+    part = spool(part)
+    free(contexts)
     found = spool(all_starts.unionByName(part).select("a", "s", F.explode(F.arrays_zip("lo", "hi")).alias("x")).groupBy("a", "s").agg(F.collect_set("x").alias("x")))
     spans = members.join(found, ["a", "s"]).select("doc", "th", "pos", F.explode("x").alias("x")).select("doc", "th", (F.col("pos") + F.col("x.lo")).alias("lo"), (F.col("pos") + F.col("x.hi")).alias("hi")).distinct()
-    return spool(spans.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")))
+    out = spool(spans.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")))
+    free(members, kinds, part, found)
+    return out
 
 
 def covered(starts: list[dict] | None, size: int) -> list[tuple[int, int]]:
