@@ -76,15 +76,15 @@ def histogram(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _independent(df: DataFrame, x: str, y: str, given: list[str], level: float, yates: bool) -> bool:
     """Conditional independence by summed chi-square over the strata; counts are made in Spark, a row comes back."""
-    cell = df.groupBy(*given, x, y).agg(F.sum("n").alias("o"))
+    cell = df.groupBy(*given, x, y).agg(F.sum("n").alias("__o"))
     s = cell.groupBy(*given) if given else cell.groupBy()
-    strata = s.agg(F.sum("o").alias("t"), F.countDistinct(x).alias("r"), F.countDistinct(y).alias("c"))
-    rows, cols = df.groupBy(*given, x).agg(F.sum("n").alias("rx")), df.groupBy(*given, y).agg(F.sum("n").alias("cy"))
+    strata = s.agg(F.sum("__o").alias("__t"), F.countDistinct(x).alias("__r"), F.countDistinct(y).alias("__c"))
+    rows, cols = df.groupBy(*given, x).agg(F.sum("n").alias("__rx")), df.groupBy(*given, y).agg(F.sum("n").alias("__cy"))
     grid = (rows.join(cols, given) if given else rows.crossJoin(F.broadcast(cols))).join(cell, [*given, x, y], "left")
     grid = grid.join(strata, given) if given else grid.crossJoin(F.broadcast(strata))
-    e = F.col("rx") * F.col("cy") / F.col("t")
-    off = F.abs(F.coalesce("o", F.lit(0)) - e)
-    dof = (F.col("r") - 1) * (F.col("c") - 1)
+    e = F.col("__rx") * F.col("__cy") / F.col("__t")
+    off = F.abs(F.coalesce("__o", F.lit(0)) - e)
+    dof = (F.col("__r") - 1) * (F.col("__c") - 1)
     if yates:
         off = F.when(dof == 1, F.greatest(off - F.least(F.lit(0.5), off), F.lit(0.0))).otherwise(off)
     stat = grid.where(dof > 0).agg(F.sum(off * off / e)).first()[0]
