@@ -173,7 +173,7 @@ def test_drivers(spark):
         drivers.centrality_report(g, 3, rounds=5)
     assert drivers.betweenness_report(g, 3).count() == 3
     assert drivers.degree_reports(g)["degree"].count() == 10
-    got = drivers.causal_report(g)
+    got = drivers.causal_report(g, ["node_cve_exists", "neighbor_cve_exists"])
     assert got["edges"] == [] and got["bic"] == 0.0 and got["longest"] is None
 
 
