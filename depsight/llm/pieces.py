@@ -3,7 +3,8 @@
 A text is segmented on the lattice of a public model's pieces, their scores as weights; a character without a piece
 is one edge of its byte pieces, scored below every piece. Forward Viterbi scores give the best segmentation; they
 are exact heuristics for a backward A* search, which yields the next best in order. Where no piece spans two adjacent
-characters the lattice has a cut point, so a text is a chain of small lattices, each searched once and remembered;
+characters the lattice has a cut point, so a text is a chain of small lattices, each searched once and remembered
+(runs of characters that no piece joins to others, as words and punctuation, are chunks that are remembered whole);
 the N best of a text combine the N best of its chain, and only the chunks with the smallest losses can take part.
 
 Equal scores: the longest last piece first. Decoding is exact: white space is kept, unknown characters and literal
@@ -58,6 +59,7 @@ class Lattice:
         scores = [v[1] for v in self.table.values()]
         self.joined = {p[k : k + 2] for p in self.table for k in range(len(p) - 1)}
         self.unknown = min((s for s in scores if s > -1e8), default=0.0) - 10
+        self.longest = max(map(len, self.table), default=1)
         self.free = not any(b[1] == SPACE and b[0] != SPACE for b in self.joined)
         self.trie: dict = {}
         for p in list(self.table):
@@ -68,7 +70,8 @@ class Lattice:
                 node = child
             for k in range(1, len(p)):
                 self.table.setdefault(p[:k], None)
-        self.chunks = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall if self.free else lambda t: [t]
+        runs = [f"[{re.escape(''.join(g))}]+" for g in groups(b for b in self.joined if SPACE not in b)]
+        self.chunks = re.compile("|".join([f"{SPACE}+(?:{'|'.join(runs)})?", *runs, "."]), re.DOTALL).findall if self.free else lambda t: [t]
         self.part = Memo(self._part, 200_000)
         self.whole = Memo(self._whole, 200_000)
         self.lists = Memo(lambda c: self._best(c, N), 50_000)
@@ -110,41 +113,45 @@ class Lattice:
         return alpha, back
 
     def _part(self, s: str) -> tuple[bytes, float, float]:
-        """Best ids, their score and the loss of the second best, from one forward and one backward pass."""
-        n, worst, trie = len(s), -float("inf"), self.trie
-        alpha, came, edges = [0.0] + [worst] * n, [None] * (n + 1), []
+        """Best ids, their score and the loss of the second best, from one pass that keeps the two best at each place."""
+        n, worst, trie, unknown, longest = len(s), -float("inf"), self.trie, self.unknown, self.longest
+        alpha, second, came = [0.0] + [worst] * n, [worst] * (n + 1), [None] * (n + 1)
         for i in range(n):
-            a, node, single = alpha[i], trie, False
-            for j in range(i, n):
-                t = node.get(s[j])
+            a, b, node, j = alpha[i], second[i], trie, i
+            for c in s[i : i + longest]:
+                t = node.get(c)
                 if t is None:
                     break
+                j += 1
                 node, v = t
                 if v is not None:
-                    single |= j == i
-                    x = a + v[1]
-                    edges.append((i, j + 1, v[1], x))
-                    if x > alpha[j + 1]:
-                        alpha[j + 1], came[j + 1] = x, (i, v[0])
-            if not single:
-                x = a + self.unknown
-                edges.append((i, i + 1, self.unknown, x))
-                if x > alpha[i + 1]:
-                    alpha[i + 1], came[i + 1] = x, (i, -1)
-        ids, follows, at = [], {}, n
+                    piece, score = v
+                elif j == i + 1:
+                    piece, score = -1, unknown
+                else:
+                    continue
+                x = a + score
+                if x > alpha[j]:
+                    y = b + score
+                    second[j] = y if y > alpha[j] else alpha[j]
+                    alpha[j], came[j] = x, (i, piece)
+                elif x > second[j]:
+                    second[j] = x
+            if j == i:
+                x, y, j = a + unknown, b + unknown, i + 1
+                if x > alpha[j]:
+                    second[j] = y if y > alpha[j] else alpha[j]
+                    alpha[j], came[j] = x, (i, -1)
+                elif x > second[j]:
+                    second[j] = x
+        ids, at = [], n
         while at:
-            i, piece = came[at]
-            follows[i] = at
-            ids.append(self._bytes(s[i])[::-1] if piece < 0 else (piece,))
-            at = i
-        best, loss, beta = alpha[n], float("inf"), [worst] * n + [0.0]
-        for i, j, score, x in reversed(edges):
-            rest = beta[j]
-            if follows.get(i) != j and best - x - rest < loss:
-                loss = best - x - rest
-            if score + rest > beta[i]:
-                beta[i] = score + rest
-        return array("i", [k for run in ids for k in run][::-1]).tobytes(), best, loss
+            at, piece = came[at]
+            if piece < 0:
+                ids += self._bytes(s[at])[::-1]
+            else:
+                ids.append(piece)
+        return array("i", ids[::-1]).tobytes(), alpha[n], alpha[n] - second[n]
 
     def _bytes(self, c: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in (SPACE if c == LITERAL else c).encode())
@@ -154,6 +161,8 @@ class Lattice:
         return [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _whole(self, chunk: str) -> tuple[bytes, float, float]:
+        if len(chunk) == 1:
+            return self._part(chunk)
         got = [self.part[p] for p in self.parts(chunk)]
         return got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), sum([g[1] for g in got]), min([g[2] for g in got]))
 
@@ -212,6 +221,18 @@ class Lattice:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def groups(pairs: Iterable[str]) -> list[list[str]]:
+    """Characters linked by the pairs, largest group first."""
+    of: dict[str, list[str]] = {}
+    for a, b in pairs:
+        one, two = of.setdefault(a, [a]), of.setdefault(b, [b])
+        if one is not two:
+            one, two = (one, two) if len(one) >= len(two) else (two, one)
+            one += two
+            of |= dict.fromkeys(two, one)
+    return sorted({id(g): sorted(g) for g in of.values()}.values(), key=lambda g: (-len(g), g))
+
+
 def merge(lists: list[list[tuple[float, tuple[int, ...]]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best joins of one choice from each list."""
     out: list[tuple[float, tuple]] = [(0.0, ())]

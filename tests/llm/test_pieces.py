@@ -51,3 +51,12 @@ def test_edge_cases(spark):
     assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows.values())
     assert rows[1]["ids"] == [] and rows[2]["nbest_scores"] == [0.0]
     assert encode(cases.frame(spark, []), MODEL).count() == 0
+
+
+def test_no_piece_spans_two_chunks():
+    lattice, r = Lattice.of(MODEL), random.Random(2)
+    for _ in range(300):
+        t = "".join(r.choice("the inéß,.$-\r\n▁ 0☃данж一个─") for _ in range(r.randint(1, 40)))
+        chunks = lattice.split(t)
+        assert "".join(chunks) == t.replace("▁", "\ud800").replace(" ", "▁") if not lattice.prefix else "".join(chunks)[1:] == t.replace("▁", "\ud800").replace(" ", "▁")
+        assert all(a[-1] + b[0] not in lattice.joined for a, b in zip(chunks, chunks[1:]))
