@@ -156,7 +156,7 @@ def matches(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius:
         sent = spark.sparkContext.broadcast(block)
 
         def run(it: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known, memo = Items(sent.value), Memo(word_hash, 400_000)
+            known, memo = Items(sent.value), Memo(word_hash, 100_000)
             of = memo.__getitem__
             for b in batches(it):
                 got = []
@@ -179,9 +179,9 @@ def clean(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: i
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(it: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known, memo = Items(sent.value), Memo(word_hash, 400_000)
+            known, memo = Items(sent.value), Memo(word_hash, 100_000)
             of = memo.__getitem__
-            for b in it:
+            for b in batches(it):
                 fine = []
                 for text in b.column("text").to_pylist():
                     h = np.fromiter(map(of, WORDS((text or "").lower())), np.uint64)

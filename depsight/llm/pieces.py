@@ -72,9 +72,9 @@ class Lattice:
                 self.table.setdefault(p[:k], None)
         runs = [f"[{re.escape(''.join(g))}]+" for g in groups(b for b in self.joined if SPACE not in b)]
         self.chunks = re.compile("|".join([f"{SPACE}+(?:{'|'.join(runs)})?", *runs, "."]), re.DOTALL).findall if self.free else lambda t: [t]
-        self.part = Memo(self._part, 200_000)
+        self.part = Memo(self._part, 20_000)
         self.whole = Memo(self._whole, 200_000)
-        self.lists = Memo(lambda c: self._best(c, N), 50_000)
+        self.lists = Memo(lambda c: self._best(c, N), 10_000)
 
     @classmethod
     def of(cls, path: str) -> Lattice:
@@ -268,5 +268,6 @@ def encode(docs: DataFrame, model: str, n: int = N) -> DataFrame:
             offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), "<i4")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(sizes, pa.int32()), pa.array(scores, pa.list_(pa.float64())), pa.array(crcs, pa.int64()), pa.array(same)], [f.split()[0] for f in SCHEMA.split(", ")])
+        lattice.whole.old, lattice.part.old = {}, {}  # the worker goes on to other work
 
     return id_text(docs).mapInArrow(run, SCHEMA)
