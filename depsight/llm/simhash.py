@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, connected_components, cut, id_text, sorted_runs, spool
+from .common import batches, connected_components, cut, free, id_text, sorted_runs, spool
 
 BITS, SEED = 64, 42
 CELL = 512  # members of one salt of a hot bucket
@@ -226,13 +227,16 @@ def components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
 WORDS, PARTS, WIDTH, SIMILAR, FOUND = 8, 4, 5, 0.8, 0.92
 
 
-def wide_print(text: str, width: int = WIDTH, words: int = WORDS) -> np.ndarray:
-    """Independent SimHashes of a text's shingles, one for each word."""
+def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
+    """The text's distinct shingles as sorted 64-bit hashes."""
     parts = shingles(text, width)
-    if not parts:
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64, len(parts)))
+
+
+def wide_print(h: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Independent SimHashes of a set of shingles, one for each word."""
+    if not len(h):
         return np.zeros(words, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in parts), np.uint64, len(parts))
     total = np.zeros(words * BITS, np.int64)
     steps = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(h), 255):
@@ -241,18 +245,22 @@ def wide_print(text: str, width: int = WIDTH, words: int = WORDS) -> np.ndarray:
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
         total += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(2 * total > len(parts)).view(np.uint64)
+    return np.packbits(2 * total > len(h)).view(np.uint64)
 
 
 def wide_prints(docs: DataFrame, width: int = WIDTH, words: int = WORDS) -> DataFrame:
+    """doc_id, the text's shingles (as bytes), their hash sid, and the words of the fingerprint."""
     names = [f"p{k}" for k in range(words)]
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            x = np.stack([wide_print(t, width, words) for t in b.column("text").to_pylist()]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(words))], ["doc_id", *names])
+            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+            x = np.stack([wide_print(h, words) for h in sets]).view(np.int64)
+            raw = [h.tobytes() for h in sets]
+            sid = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sid), pa.array(raw, pa.binary()), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(words))], ["doc_id", "sid", "shingles", *names])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return id_text(docs).mapInArrow(run, "doc_id long, sid long, shingles binary, " + ", ".join(f"{n} long" for n in names))
 
 
 def most_apart(similar: float, bits: int, spare: float = 0.8) -> int:
@@ -287,17 +295,137 @@ def _mask(bits: list[int]) -> int:
     return m - (1 << BITS) if m >= 1 << (BITS - 1) else m
 
 
-def near_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, component_id of near-duplicates: texts whose wide fingerprints differ in no more bits than texts of this similarity do."""
-    names = [f"p{k}" for k in range(WORDS)]
+def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (u, v) of sids whose sets have this Jaccard similarity or more."""
+    share = Fraction(str(similar))
+    num, den = share.numerator, share.denominator
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            like = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                like.append(den * both >= num * (len(x) + len(y) - both))
+            yield b.select(["u", "v"]).filter(pa.array(like, pa.bool_()))
+
+    wanted = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct()
+    sets = sets.join(F.broadcast(wanted), "sid", "left_semi")  # sids alone are sent, so that other sets are not shuffled
+    one, other = sets.select(F.col("sid").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("v"), F.col("shingles").alias("y"))
+    return pairs.join(one, "u").join(other, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def common_shingles(sets: DataFrame, sample: int = 8192, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the sets shares, sorted, and how often it has them."""
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("shingles").to_pylist()), np.int64))], ["key"])
+
+    one_in = max(1, sets.count() // sample)
+    few = sets.where(F.pmod(F.xxhash64("sid"), F.lit(one_in)) == 0).select("shingles")
+    rows = few.mapInArrow(run, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(most).collect()
+    keys, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
-    def keys(reps: DataFrame) -> list[Column]:
-        moments = [bit_moments(reps, c) for c in names]
-        plan = probes(moments[0][0], [m[1] for m in moments], similar)
-        return [F.xxhash64(F.lit(i), *(F.col(names[w]).bitwiseAND(F.lit(_mask(g))) for w, g in key)) for i, key in enumerate(plan)]
 
-    prints = spool(wide_prints(docs, width))
-    return grouped(prints, names, keys, most_apart(similar, WORDS * BITS)).select("doc_id", "component_id")
+def sharing(sets: DataFrame, similar: float) -> DataFrame:
+    """(u, v): pairs of sids of different components, among them all whose sets have this Jaccard similarity or more.
+
+    sets: sid, component, shingles. Prefix filter: with the shingles of all sets in one order, two such sets share one
+    of their first n - ceil(similar * n) + 1, and from their first common one on have enough left. Any order is exact;
+    common shingles come last, so that few sets meet.
+    """
+    share = Fraction(str(similar))
+    num, den = share.numerator, share.denominator
+    common = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
+
+    def first(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = common.value
+        for b in batches(it):
+            keys = []
+            for raw in b.column("shingles").to_pylist():
+                h = np.frombuffer(raw, np.uint64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))]
+                keys.append(h[: len(h) + -num * len(h) // den + 1] if len(h) else h)
+            each = np.array([len(k) for k in keys])
+            n = np.array([len(raw) // 8 for raw in b.column("shingles").to_pylist()], np.int32)
+            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in each])
+            columns = [np.concatenate(keys).view(np.int64), *(np.repeat(b.column(c).to_numpy(), each) for c in ("sid", "component")), np.repeat(n, each), pos]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "sid", "component", "n", "pos"])
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in sorted_runs(it, "key"):
+            key, sid, comp, n = c["key"], c["sid"], c["component"], c["n"].astype(np.int64)
+            left = n - c["pos"]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(starts, len(key)))
+            out, small = [], np.repeat(sizes <= 8, sizes)
+
+            def keep(i, j):
+                i, j = np.broadcast_arrays(i, j)
+                ok = (comp[i] != comp[j]) & ((num + den) * np.minimum(left[i], left[j]) >= num * (n[i] + n[j]))
+                if ok.any():
+                    x, y = sid[i[ok]], sid[j[ok]]
+                    out.append((np.minimum(x, y), np.maximum(x, y)))
+
+            for d in range(1, min(8, len(key))):
+                i = np.flatnonzero(small[:-d] & (key[d:] == key[:-d]))
+                keep(i, i + d)
+            for s, k in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist()):
+                if (comp[s : s + k] != comp[s]).any():
+                    for i in range(s, s + k - 1):
+                        keep(np.int64(i), np.arange(i + 1, s + k))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], ["u", "v"])
+
+    rows = sets.select("sid", "component", "shingles").mapInArrow(first, "key long, sid long, component long, n int, pos int")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
+
+
+def near_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, component_id of near-duplicates: links are the pairs of texts whose sets of shingles (by their 64-bit
+    hashes) have this Jaccard similarity or more, all of them and no others.
+
+    SimHash proposes pairs first, which connects most of a large group at little cost; a prefix filter then finds
+    every pair that is not connected yet. Both kinds are linked only if their exact similarity suffices.
+    """
+    names = [f"p{k}" for k in range(WORDS)]
+    prints = wide_prints(docs, width)
+    # Sets take more room than texts: they are shuffled once, and the ids' pass makes them anew.
+    ids = spool(prints.select("doc_id", "sid"))
+    reps = spool(prints.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles"), *(F.first(c).alias(c) for c in names)).where("rep is not null"))
+    del prints
+
+    known = reps.select(F.col("sid").alias("rep"), *names)
+    moments = [bit_moments(known, c) for c in names]
+    plan = probes(moments[0][0], [m[1] for m in moments], similar)
+    keys = [F.xxhash64(F.lit(i), *(F.col(names[w]).bitwiseAND(F.lit(_mask(g))) for w, g in key)) for i, key in enumerate(plan)]
+    near = spool(links(known, names, keys, most_apart(similar, WORDS * BITS)).distinct())
+    del known, keys
+    some = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.array(F.min("v"), F.max("v")).alias("vs"))
+    some = some.select("u", F.explode("vs").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    some = spool(some)
+    free(near)
+    sure = spool(verified(some, reps, similar))
+    found = spool(connected_components(sure))
+    free(some)
+
+    sets = reps.select("sid", "shingles").join(F.broadcast(found), reps["sid"] == found["node"], "left").select("sid", F.coalesce("component", "sid").alias("component"), "shingles")
+    more = spool(sharing(sets, similar))
+    del sets
+    free(found)
+    rest = spool(verified(more, reps, similar))
+    # Rows of one doc_id are one document, so components are over ids.
+    of = reps.select("sid", "rep")
+    edges = sure.unionByName(rest).join(of.toDF("u", "a"), "u").join(of.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    last = connected_components(edges)
+    classes = spool(of.join(last, of["rep"] == last["node"], "left").select("sid", F.coalesce("component", "rep").alias("component_id")))
+    free(reps)
+    return ids.join(classes, "sid", "left").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
