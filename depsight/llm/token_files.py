@@ -56,20 +56,23 @@ class Encoder:
 
     A byte-level BPE cuts a text by a fixed pattern and encodes each cut on its own. For texts of plain characters,
     the cuts are made here and the library's ids of each are remembered; any other text or kind of tokenizer goes to
-    the library whole.
+    the library whole. With ``added``, the tokenizer's added tokens are recognised in a text, as an unmodified tokenizer does,
+    and texts that hold one go to the library whole; without, they are plain text.
     """
 
     ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 200_000, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = not added
         made = json.loads(self.lib.to_str())
+        contents = [t["content"] for t in made.get("added_tokens") or [] if added]
+        self.whole = re.compile("|".join(map(re.escape, contents))).search if contents else None
         pre = made.get("pre_tokenizer") or {}
-        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer")
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and not any("\n" in c for c in contents)
         letter, digit = _class("L"), _class("N")
         # The fixed pattern of byte-level BPE, for plain characters.
         cuts = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?[^ \t\n\r{letter}{digit}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
@@ -81,7 +84,7 @@ class Encoder:
     def of(cls, path: str) -> Encoder:
         """One for each worker process, which serves many tasks."""
         if path not in ENCODERS:
-            ENCODERS[path] = cls(path)
+            ENCODERS[path] = cls(path, added=True)
         return ENCODERS[path]
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -105,7 +108,7 @@ class Encoder:
         if self.cut is None:
             return self.library(texts)
         out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.ODD.search(t)]
+        odd = [i for i, t in enumerate(texts) if self.ODD.search(t) or (self.whole and self.whole(t))]
         for i, ids in zip(odd, self.library([texts[i] for i in odd]) if odd else ()):
             out[i] = ids
         cuts = {i: self.cut(t) for i, t in enumerate(texts) if out[i] is None}
