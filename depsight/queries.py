@@ -507,6 +507,8 @@ def a21(g: Graph) -> DataFrame:
 
 
 PAIRCOLS = ["node_cve_exists", "node_cve_num", "neighbor_cve_exists", "neighbor_cve_num"]
+#: All features of both ends, for the skeleton.
+ALLCOLS = [f"{x}_cve_{c}" for x in ("node", "neighbor") for c in ("exists", "score", "num")]
 #: Pairs of releases: the interval join's ends with their features.
 REL_PAIRS = f"rp AS (SELECT {PAIR.format(a='p', x='node')}, {PAIR.format(a='q', x='neighbor')} FROM ({J5}) h LEFT JOIN feat p ON p.owner = h.src LEFT JOIN feat q ON q.owner = h.dst)"
 
@@ -757,7 +759,7 @@ def m6(g: Graph) -> DataFrame:
 
 @register("m9_skeleton", None, _release_pairs)
 def m9(p: DataFrame) -> DataFrame:
-    return p.sparkSession.createDataFrame(causal.skeleton(p, PAIRCOLS), "src string, dst string")
+    return p.sparkSession.createDataFrame(causal.skeleton(p, ALLCOLS), "src string, dst string")
 
 
 BIC_EDGES = [("node_cve_exists", "node_cve_num"), ("node_cve_num", "neighbor_cve_num")]
@@ -777,7 +779,7 @@ def m10(p: DataFrame) -> DataFrame:
 
 @register("m11_discover", None, _release_pairs)
 def m11(p: DataFrame) -> DataFrame:
-    edges, score = causal.discover(p, PAIRCOLS)
+    edges, score = causal.discover(p, ALLCOLS)
     return p.sparkSession.createDataFrame([(len(edges), round(score, 3))], "edges int, bic double")
 
 
