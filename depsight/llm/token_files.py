@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, id_text, scratch_path
+from .common import Memo, batches, cut, id_text, scratch_path
 
 #: Fixed values of the public seekable format.
 SKIP_TABLE, SKIP_INDEX, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
@@ -49,20 +49,26 @@ def _class(kinds: str) -> str:
 #: Characters whose classes no Unicode version disputes: printable ASCII, Latin-1 and the Latin extensions.
 PLAIN = [*range(0x20, 0x7F), *range(0xA1, 0x250)]
 ENCODERS: dict[str, Encoder] = {}
+#: Byte-level BPE writes printable bytes as themselves and the others, in order, as the characters from 256 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+SAMPLES = [" ".join(map(chr, PLAIN)), "".join(map(chr, PLAIN)), "It's  we'll\tthey've\n\n 12a3 \r\nx!? ...end \u00e9t\u00e9 \u00df 'tis \n", ""]
 
 
 class Encoder:
     """Ids of texts as the tokenizers library gives them, as little-endian uint32 bytes.
 
     A byte-level BPE cuts a text by a fixed pattern and encodes each cut on its own. For texts of plain characters,
-    the cuts are made here and the library's ids of each are remembered; any other text or kind of tokenizer goes to
-    the library whole. With ``added``, the tokenizer's added tokens are recognised in a text, as an unmodified tokenizer does,
-    and texts that hold one go to the library whole; without, they are plain text.
+    the cuts are made here, and the library's model encodes each distinct cut once; any other text or kind of
+    tokenizer goes to the library whole. With ``added``, the tokenizer's added tokens are recognised in a text, as an
+    unmodified tokenizer does, and texts that hold one go to the library whole; without, they are plain text.
+    At its start an encoder compares both ways on sample texts; where another version of the library differs, all
+    texts go to it whole.
     """
 
     ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
 
-    def __init__(self, path: str, keep: int = 200_000, added: bool = False):
+    def __init__(self, path: str, keep: int = 400_000, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -74,11 +80,12 @@ class Encoder:
         pre = made.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and not any("\n" in c for c in contents)
         letter, digit = _class("L"), _class("N")
-        # The fixed pattern of byte-level BPE, for plain characters.
-        cuts = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?[^ \t\n\r{letter}{digit}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
+        # The fixed pattern of byte-level BPE, for plain characters; letters come first, as no other branch starts with one.
+        cuts = rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{digit}]+| ?[^ \t\n\r{letter}{digit}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
         self.cut = re.compile(cuts).findall if plain else None
-        self.keep, self.new, self.old = keep, {}, {}
-        self.line = np.frombuffer(b"".join(self.library(["\n"])), "<u4")
+        self.known = Memo(self.word, keep)
+        if plain and self(SAMPLES) != self.library(SAMPLES):
+            self.cut = None
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -90,19 +97,9 @@ class Encoder:
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, cuts: list[str]) -> list[bytes]:
-        """Ids of single cuts. Those without a line break are encoded as the lines of one text, as a line break is always a cut of its own there."""
-        plain = [c for c in cuts if not c.isspace()] if len(self.line) == 1 else []
-        found: dict[str, bytes] = {}
-        if plain:
-            ids = np.array(self.lib.encode("\n".join(plain), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
-            if len(ends) == len(plain):
-                raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
-                found = {c: raw[4 * s : 4 * e] for c, s, e in zip(plain, starts.tolist(), ends.tolist())}
-        rest = [c for c in cuts if c not in found]
-        found.update(zip(rest, self.library(rest)) if rest else ())
-        return [found[c] for c in cuts]
+    def word(self, cut: str) -> bytes:
+        """Ids of a single cut, by the library's model alone."""
+        return array("I", [t.id for t in self.lib.model.tokenize(cut.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.cut is None:
@@ -111,23 +108,8 @@ class Encoder:
         odd = [i for i, t in enumerate(texts) if self.ODD.search(t) or (self.whole and self.whole(t))]
         for i, ids in zip(odd, self.library([texts[i] for i in odd]) if odd else ()):
             out[i] = ids
-        cuts = {i: self.cut(t) for i, t in enumerate(texts) if out[i] is None}
-        if len(self.new) > self.keep:
-            self.old, self.new = self.new, {}
-        lacking = set().union(*cuts.values()) if cuts else set()
-        lacking.difference_update(self.new)
-        if self.old:
-            known = lacking.intersection(self.old)
-            self.new.update((w, self.old[w]) for w in known)
-            lacking -= known
-        fresh = list(lacking)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            self.new.update(zip(part, self.pieces(part)))
-        ids = self.new.__getitem__
-        for i, c in cuts.items():
-            out[i] = b"".join(map(ids, c))
-        return out
+        known = self.known.__getitem__
+        return [b"".join(map(known, self.cut(t))) if ids is None else ids for t, ids in zip(texts, out)]
 
 
 def place_of(uri: str) -> tuple[pafs.FileSystem, str]:
