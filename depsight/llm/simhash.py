@@ -7,8 +7,8 @@ least one partition, so probing misses nothing. Candidates are verified on whole
 candidates yields a spanning forest only.
 
 Defined results: null or empty text has fingerprint zero and is linked like any other; repeated rows are rows of
-their own; null doc_id rows get the component of their fingerprint; an empty table gives an empty result. Other
-columns are ignored.
+their own; null doc_id rows get the component of their fingerprint and link others like any row (component_id is null
+where no row reached has an id); an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import batches, connected_components, cut, free, id_text, sorted_runs, spool
 
 BITS, SEED = 64, 42
+NO_ID = -(1 << 63)
 CELL = 512  # members of one salt of a hot bucket
 
 
@@ -111,12 +112,15 @@ def within(p: np.ndarray, bits: list[int], most: int) -> list[float]:
     return list(np.cumsum(dist[: most + 1]))
 
 
-def allocate(n: int, both: np.ndarray, radius: int, key_cost: float = 40.0) -> list[tuple[list[int], int]]:
+def allocate(n: int, both: np.ndarray, radius: int, key_cost: float = 40.0, most: int = 100) -> list[tuple[list[int], int]]:
     """Partitions of bits with their thresholds, of least estimated cost; a partition at -1 is left out.
 
-    Cost: candidate pairs, and key_cost for each key a fingerprint emits. Exact at any choice.
+    Cost: candidate pairs, and key_cost for each key a fingerprint emits, of which there are ``most`` at most. Exact at
+    any choice. Fewer than two fingerprints have no pairs and need no partition.
     """
-    p, best = np.diag(both) / max(n, 1), (math.inf, [])
+    if n < 2:
+        return []
+    p, best = np.diag(both) / n, (math.inf, [])
     for parts in range(1, radius + 3):
         groups = group_bits(n, both, parts)
         cost = []
@@ -133,7 +137,7 @@ def allocate(n: int, both: np.ndarray, radius: int, key_cost: float = 40.0) -> l
                         grown[s + t + 1] = x
             table = grown
         v, ts = table[radius + 1]  # sum(t) = radius - parts + 1
-        if v < best[0]:
+        if v < best[0] and sum(math.comb(len(g), t) for g, t in zip(groups, ts) if t >= 0) <= most:
             best = (v, [(g, t) for g, t in zip(groups, ts) if t >= 0])
     return best[1]
 
@@ -203,23 +207,23 @@ def links(reps: DataFrame, columns: list[str], keys: list[Column], radius: int)
     return salted.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
 
-def grouped(prints: DataFrame, columns: list[str], keys: Callable[[DataFrame], list[Column]], radius: int) -> DataFrame:
-    """The rows of prints with component_id, the smallest doc_id that links reach."""
-    reps = cut(prints.groupBy(*columns).agg(F.min("doc_id").alias("rep")))
-    known = reps.where("rep is not null")
-    found = connected_components(links(known, columns, keys(known), radius))
-    classes = spool(reps.join(found, reps["rep"] == found["node"], "left").select(*columns, F.coalesce("component", "rep").alias("component_id")))
-    return prints.join(classes, columns)
-
-
 def components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
+    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links.
 
-    def keys(reps: DataFrame) -> list[Column]:
-        plan = allocate(*bit_moments(reps, "fp"), radius)
-        return [F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(masks(plan))]
-
-    out = grouped(cut(fingerprints(docs, width)), ["fp"], keys, radius)
+    Links are between fingerprints, so those that only rows of null doc_id have link others like any.
+    """
+    prints = cut(fingerprints(docs, width))
+    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    plan = allocate(*bit_moments(reps, "fp"), radius)
+    least = reps.select("fp", F.col("rep").alias("component_id"))
+    if plan:
+        keys = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(masks(plan))]
+        found = spool(connected_components(links(reps.select(F.col("fp").alias("rep"), "fp"), ["fp"], keys, radius)))
+        known = reps.join(found, reps["fp"] == found["node"])
+        lowest = known.groupBy("component").agg(F.min("rep").alias("lowest"))
+        linked = known.join(lowest, "component").select(F.col("node"), "lowest")
+        least = reps.join(linked, reps["fp"] == linked["node"], "left").select("fp", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("lowest")).alias("component_id"))
+    out = prints.join(least, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

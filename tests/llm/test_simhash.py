@@ -66,11 +66,20 @@ def test_empty_table(spark):
     assert S.one_of_each(cases.frame(spark, [])).count() == 0
 
 
+def test_rows_without_id_are_a_bridge(spark, monkeypatch):
+    prints = {"a": 0, "b": 0b111, "c": 0b111111}
+    monkeypatch.setattr(S, "fingerprints", lambda docs, width: docs.sparkSession.createDataFrame([(7, 0), (None, 0b111), (3, 0b111111), (None, 0xFFFF << 40)], "doc_id long, fp long"))
+    got = {(r["doc_id"], int(r["fingerprint"], 16)): r["component_id"] for r in S.components(cases.frame(spark, [(1, "x")])).collect()}
+    assert got == {(7, prints["a"]): 3, (None, prints["b"]): 3, (3, prints["c"]): 3, (None, 0xFFFF << 40): None}
+
+
 def test_allocation_covers_all_pairs_in_the_radius():
     r = np.random.default_rng(0)
-    for n in (10, 10**6, 10**10):
+    assert S.allocate(0, np.zeros((64, 64)), 3) == S.allocate(1, np.zeros((64, 64)), 3) == []
+    for n in (2, 10, 10**6, 10**10, 10**13):
         plan = S.allocate(n, (r.random((64, 64)) * 0.1 + 0.2) * n, 3)
         ms = [m & (2**64 - 1) for m in S.masks(plan)]
+        assert 4 <= len(ms) <= 100
         for _ in range(300):
             flips = sum(1 << int(b) for b in r.choice(64, 3, replace=False))
             assert any(flips & m == 0 for m in ms)
@@ -85,10 +94,3 @@ def test_one_of_each_keeps_clean_and_drops_near_copies(spark):
         near.append((100 + k, " ".join(ws)))
     kept = {r["doc_id"] for r in S.one_of_each(cases.frame(spark, rows + near)).collect()}
     assert kept >= set(range(20)) and len(kept & set(range(100, 120))) <= 1
-
-
-def test_more_fingerprints_get_longer_and_more_keys():
-    moments = [np.full((64, 64), 0.25) for _ in range(S.WORDS)]
-    few, many = S.probes(1000, moments), S.probes(10**8, [m * 10**8 for m in moments])
-    bits = lambda k: sum(len(g) for _, g in k)
-    assert len(few) == 32 and len(many) > 32 and bits(many[0]) > bits(few[0])
