@@ -109,13 +109,13 @@ class LabelModel:
         for _ in range(rounds):
             w1, w0 = counts * post, counts * (1 - post)
             self.prior = float((w1.sum() + 1) / (n + 2))
-            odds = np.full(len(post), math.log(self.prior / (1 - self.prior)))
+            self.parts = []  # each clique's log odds, by pattern
             for c, code in zip(self.cliques, codes):
                 size = 1 << len(c)
                 p1 = (np.bincount(code, w1, size) + 0.1) / (w1.sum() + 0.1 * size)
                 p0 = (np.bincount(code, w0, size) + 0.1) / (w0.sum() + 0.1 * size)
-                odds += np.log(p1 / p0)[code]
-            new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+                self.parts.append(np.log(p1 / p0)[code])
+            new = self._posterior(len(post), self.parts)
             if np.abs(new - post).max() < 1e-6:
                 post = new
                 break
@@ -124,26 +124,36 @@ class LabelModel:
         self.rates = np.array([[(patterns[:, j] * w).sum() / max(w.sum(), 1e-9) for w in (w1, w0)] for j in range(patterns.shape[1])])
         return post
 
-    def tie(self, patterns: np.ndarray, counts: np.ndarray, post: np.ndarray) -> None:
-        """Cliques of at most CLIQUE voters that are correlated within a class."""
+    def _posterior(self, n: int, parts: list[np.ndarray]) -> np.ndarray:
+        odds = sum(parts, np.full(n, math.log(self.prior / (1 - self.prior))))
+        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+
+    def tie(self, patterns: np.ndarray, counts: np.ndarray) -> None:
+        """Cliques of at most CLIQUE voters that are correlated within a class.
+
+        Each pair is judged by the posteriors that the other voters give: with its own votes, a pair that copies one
+        another becomes the class, and nothing is left of its dependence.
+        """
         voters = patterns.shape[1]
         strength = np.zeros((voters, voters))
-        for w in (counts * post, counts * (1 - post)):
-            if w.sum() > 1:
-                mean = (patterns * w[:, None]).sum(0) / w.sum()
-                x = (patterns - mean) * np.sqrt(w / w.sum())[:, None]
-                cov = x.T @ x
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-                rho = np.where(np.outer(sd, sd) > 1e-8, np.abs(cov) / np.outer(sd, sd), 0)
-                strength = np.maximum(strength, rho * (w.sum() / counts.sum()) ** 0.25)
+        for i in range(voters):
+            for j in range(i + 1, voters):
+                post = self._posterior(len(patterns), [p for c, p in zip(self.cliques, self.parts) if i not in c and j not in c])
+                for w in (counts * post, counts * (1 - post)):
+                    if w.sum() > 1:
+                        (a, b), share = (np.average(patterns[:, k], weights=w) for k in (i, j)), w.sum() / counts.sum()
+                        sd = math.sqrt(max(a * (1 - a) * b * (1 - b), 0.0))
+                        if sd > 1e-8:
+                            rho = abs(np.average(patterns[:, i] * patterns[:, j], weights=w) - a * b) / sd
+                            strength[i, j] = max(strength[i, j], rho * share**0.25)
         self.correlations, of = strength, {j: [j] for j in range(voters)}
         for k in np.argsort(-strength, axis=None):
             i, j = divmod(int(k), voters)
-            if i < j and strength[i, j] > TIED and of[i] is not of[j] and len(of[i]) + len(of[j]) <= CLIQUE:
+            if strength[i, j] > TIED and of[i] is not of[j] and len(of[i]) + len(of[j]) <= CLIQUE:
                 both = of[i] + of[j]
                 for v in both:
                     of[v] = both
-        self.cliques = [list(c) for c in {id(c): c for c in of.values()}.values()]
+        self.cliques = [sorted(c) for c in {id(c): c for c in of.values()}.values()]
 
 
 def keys(text: str) -> Counter:
@@ -235,9 +245,10 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) ->
     codes, n = np.array([r["votes"] for r in counts]), np.array([float(r["count"]) for r in counts])
     bits = ((codes[:, None] >> np.arange(voters.count)) & 1).astype(float)
     fired = bits.sum(1)
-    post = model.fit(bits, n, np.where(fired == 0, 0.01, 0.6 + 0.3 * np.minimum(fired, 3) / 3))
-    model.tie(bits, n, post)
-    post = model.fit(bits, n, post)
+    start = np.where(fired == 0, 0.01, 0.6 + 0.3 * np.minimum(fired, 3) / 3)
+    model.fit(bits, n, start)
+    model.tie(bits, n)
+    post = model.fit(bits, n, start)  # anew, as the first fit may have made a copied voter the class
     believed = F.broadcast(spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post)], "votes int, y double"))
     order = F.xxhash64(F.lit("train"), "doc_id")
     with_y = cast_votes.join(believed, "votes").where("doc_id is not null")
