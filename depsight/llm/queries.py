@@ -82,22 +82,26 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 
 OP5 = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, coalesce(doc_id, -9223372036854775808) AS doc, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
-), e AS (SELECT rid, doc, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM d),
+  SELECT row_number() OVER () AS rid, dense_rank() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS did,
+    coalesce(doc_id, -9223372036854775808) AS doc, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), e AS (SELECT rid, did, doc, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM d),
 t AS (
-  SELECT rid, doc, l, i, CASE WHEN trim(l, ' ' || chr(9) || chr(13)) = '' THEN NULL ELSE
+  SELECT rid, did, doc, l, i, CASE WHEN trim(l, ' ' || chr(9) || chr(13)) = '' THEN NULL ELSE
     list_transform(string_split_regex(trim(l, ' ' || chr(9) || chr(13)), '[ \t]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) END AS ws
   FROM e
 ), m AS (SELECT *, concat_ws(' ', len(ws), array_to_string(ws[1:3], ' ')) AS leaf, array_to_string(ws, ' ') AS line FROM t),
-k AS (
-  SELECT leaf, line, any_value(ws) AS ws, count(DISTINCT rid) AS docs, min(doc) AS first FROM m WHERE ws IS NOT NULL GROUP BY leaf, line
-), o AS (
-  SELECT leaf, min(first) AS leaf_first FROM k GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= 3 AND max(len(ws)) >= 5
-), p AS (SELECT leaf, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM k WHERE leaf IN (SELECT leaf FROM o)),
-f AS (SELECT leaf, pos, (count(DISTINCT w) = 1)::INT AS same FROM p GROUP BY leaf, pos),
-g AS (SELECT leaf, leaf_first FROM o WHERE leaf IN (SELECT leaf FROM f GROUP BY leaf HAVING sum(same) >= 0.7 * count(*))),
-r AS (SELECT k.line, coalesce(g.leaf_first, k.first) AS first FROM k LEFT JOIN g USING (leaf) WHERE g.leaf IS NOT NULL OR docs >= 3),
-s AS (SELECT m.rid, m.i, m.l, r.line IS NOT NULL AND m.doc <> r.first AS gone FROM m LEFT JOIN r ON m.line = r.line AND m.ws IS NOT NULL)
+k AS (SELECT leaf, line, any_value(ws) AS ws, count(DISTINCT rid) AS docs FROM m WHERE ws IS NOT NULL GROUP BY leaf, line),
+o AS (SELECT leaf FROM k GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= 3 AND max(len(ws)) >= 5),
+p AS (SELECT leaf, line, docs, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM k WHERE leaf IN (SELECT leaf FROM o)),
+x AS (SELECT leaf, line, pos, w, sum(docs) OVER (PARTITION BY leaf, pos, w) AS weight FROM p),
+y AS (SELECT leaf, line, list(weight ORDER BY weight DESC)[CAST(ceil(0.7::DOUBLE * count(*)) AS BIGINT)] AS least FROM x GROUP BY leaf, line),
+z AS (
+  SELECT x.line, x.leaf || chr(1) || string_agg(CASE WHEN weight >= least THEN w ELSE chr(2) END, ' ' ORDER BY pos) AS template
+  FROM x JOIN y ON x.line = y.line AND x.leaf = y.leaf WHERE least >= 3 GROUP BY x.leaf, x.line
+), h AS (SELECT m.rid, m.i, m.did, m.doc, coalesce(z.template, chr(3) || m.line) AS template FROM m LEFT JOIN z USING (line) WHERE m.ws IS NOT NULL),
+r AS (SELECT template, min(doc) AS first FROM h GROUP BY template HAVING count(DISTINCT did) >= 3),
+g AS (SELECT rid, i FROM h JOIN r USING (template) WHERE doc <> first),
+s AS (SELECT m.rid, m.i, m.l, g.i IS NOT NULL AS gone FROM m LEFT JOIN g ON m.rid = g.rid AND m.i = g.i)
 SELECT any_value(d.doc_id) AS doc_id, coalesce(string_agg(s.l, chr(10) ORDER BY s.i) FILTER (NOT gone), '') AS text,
   CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_dropped
 FROM s JOIN d USING (rid) GROUP BY rid

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -9,22 +10,32 @@ from . import cases
 def brute(docs):
     key = lambda i: L.NO_ID if i is None else i
     mask = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in re.split("[ \t]+", line.strip(" \t\r")) if w)
-    seen, first = defaultdict(int), {}
-    for i, t in docs:
+    rows = defaultdict(int)
+    for _, t in docs:
         for m in {mask(line) for line in (t or "").split("\n")} - {()}:
-            seen[m] += 1
-            first[m] = min(first.get(m, key(i)), key(i))
-    leaves = defaultdict(list)
-    for m in seen:
-        leaves[len(m), m[: L.LEAD]].append(m)
-    keeper = {m: first[m] for m in seen if seen[m] >= L.MIN_DOCS}
-    for (n, _), ms in leaves.items():
-        if len(ms) > 1 and n >= L.MIN_TOKENS and sum(seen[m] for m in ms) >= L.MIN_DOCS and sum(len(set(c)) == 1 for c in zip(*ms)) >= L.ALIKE * n:
-            keeper.update({m: min(first[x] for x in ms) for m in ms})
+            rows[m] += 1
+    weight = defaultdict(int)
+    for m, n in rows.items():
+        for i, w in enumerate(m):
+            weight[len(m), m[: L.LEAD], i, w] += n
+
+    def template(m):
+        own = [weight[len(m), m[: L.LEAD], i, w] for i, w in enumerate(m)]
+        least = sorted(own, reverse=True)[math.ceil(L.ALIKE * len(m)) - 1]
+        if len(m) < L.MIN_TOKENS or least < L.MIN_DOCS:
+            return m
+        return tuple(w if x >= least else None for w, x in zip(m, own))
+
+    holders = defaultdict(set)
+    for i, t in docs:
+        for line in (t or "").split("\n"):
+            if mask(line):
+                holders[template(mask(line))].add((key(i), t or ""))
+    keeper = {m: min(d)[0] for m, d in holders.items() if len(d) >= L.MIN_DOCS}
     out = []
     for i, t in docs:
         lines = (t or "").split("\n")
-        kept = [line for line in lines if not mask(line) or keeper.get(mask(line), key(i)) == key(i)]
+        kept = [line for line in lines if not mask(line) or keeper.get(template(mask(line)), key(i)) == key(i)]
         out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
 
@@ -43,6 +54,20 @@ def test_equals_brute_force(spark):
     assert sum(r[3] for r in got) > 0
 
 
+def test_a_template_is_found_among_other_lines_of_its_leaf(spark):
+    names = ["ann", "bob", "cy", "dee", "eve"]
+    rows = [(k, f"{cases.words(9, k)}\nPosted in the category news by editor {n}") for k, n in enumerate(names)]
+    rows += [(10, "Posted in the rain we walked home slowly"), (11, "Posted in the sun they ran home fast")]
+    got = {r["doc_id"]: r["n_dropped"] for r in L.report(cases.frame(spark, rows)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 10: 0, 11: 0}
+
+
+def test_variants_of_one_document_are_one_document(spark):
+    rows = [(1, "Served by host alpha in zone east\nServed by host alpha in zone west"), (2, "Served by host alpha in zone east")]
+    assert {r["n_dropped"] for r in L.report(cases.frame(spark, rows)).collect()} == {0}
+    assert sorted(r["n_dropped"] for r in L.report(cases.frame(spark, [*rows, (3, "Served by host alpha in zone north")])).collect()) == [0, 1, 1]
+
+
 def test_cleaned_keeps_columns(spark):
     frame = cases.frame(spark, docs())
     out = L.cleaned(frame)
