@@ -1,18 +1,20 @@
 """Removal of byte strings of LENGTH or more that occur more than once, by column-wise multi-document BWT construction.
 
 A byte goes if a LENGTH-byte string that covers it also starts anywhere else. Anchors make the suffixes comparable in
-small collections: of every LENGTH-byte string, the leftmost smallest hash of its CORE-byte strings is an anchor, so
-equal strings have equal anchors at equal places. An anchor's context is what the strings that hold it can cover:
-SIDE bytes before its core, the core, SIDE bytes after it. Contexts whose core occurs once are left; equal contexts
-become one with a count.
+small collections: of every SHORT-byte string, the leftmost smallest hash of its CORE-byte strings is an anchor, so
+equal strings have equal anchors at equal places. Those that are smallest of a whole LENGTH-byte string too are wide.
+An anchor's context is what the strings that hold it can cover: up to SIDE bytes before its core, the core, and as many
+after it (NEAR for anchors that are not wide). Contexts whose core occurs once are left; equal contexts become one
+with a count.
 
 The contexts that share cores are the documents of a collection. Its Burrows-Wheeler transform is built column by
 column from the right: each round inserts one symbol for every document, at the place that the previous round's order
 and the symbol give, and updates the common prefixes from interval minima. As all columns are aligned at the anchors,
 symbols count as tagged by their column; suffixes of different columns then never mix, and a round's insertions are
 one new segment that is made from the segment before, sequentially. Suffixes at neighbouring ranks with a common
-prefix of LENGTH bytes or more start repeated strings. Collections stream from the sorted shuffle files in blocks of
-about BLOCK documents.
+prefix of LENGTH bytes or more start repeated strings; the same prefixes show the repeated strings of SHORT bytes, of
+which only passages of over WORDS words are reported and nothing is removed. Collections stream from the sorted
+shuffle files in blocks of about BLOCK documents.
 
 Groups of one core that hold more than a SHARE-th of all contexts (at least HOT), or more than MOST, do not meet in a task: their strings are compared as hashes of
 the bytes around the core, over pieces of the start places first, and start by start where pieces differ.
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import batches, free, spool
 
-LENGTH, CORE = 400, 100
-SIDE = LENGTH - CORE  # also the largest start place of a string in a context
+LENGTH, SHORT, WORDS, CORE = 400, 256, 50, 64
+SIDE, NEAR = LENGTH - CORE, SHORT - CORE  # also the largest start places of strings in a context
 BLOCK, HOT, SHARE, MOST, PIECE = 4096, 500, 200, 20000, 43
 NO_ID = -(1 << 63)
 _R = 0x9E3779B97F4A7C15
@@ -69,30 +71,38 @@ def _slide(x: np.ndarray, w: int, f: np.ufunc, pad: int) -> np.ndarray:
     return f(after[:n], before[w - 1 : w - 1 + n])
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors, hashes of their cores and of their contexts."""
+def _chosen(h: np.ndarray, span: int) -> np.ndarray:
+    """Which values are the smallest of any run of span values."""
+    low = _slide(h, span, np.minimum, 2**64 - 1)
+    around = np.zeros(len(h) + span - 1, np.uint64)
+    around[span - 1 : span - 1 + len(low)] = low
+    return h == _slide(around, span, np.maximum, 0)[: len(h)]
+
+
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors, hashes of their cores and of their contexts, and whether they are wide."""
     n = len(raw)
-    if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    if n < SHORT:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     h = _mixed((sums[CORE:] - sums[:-CORE]) * down[: n - CORE + 1])
-    low = _slide(h, SIDE + 1, np.minimum, 2**64 - 1)
-    around = np.zeros(len(h) + SIDE, np.uint64)
-    around[SIDE : SIDE + len(low)] = low
-    at = np.flatnonzero(h == _slide(around, SIDE + 1, np.maximum, 0)[: len(h)])
-    start, end = np.maximum(at - SIDE, 0), np.minimum(at + LENGTH, n)
-    shape = (at - start).astype(np.uint64) * np.uint64(1009) + (end - at).astype(np.uint64)
-    return at, h[at], _mixed(_mixed((sums[end] - sums[start]) * down[start]) + shape)
-
-
-def repeats(symbols: np.ndarray, length: int) -> np.ndarray:
-    """For each document (column of ``symbols``, row = column of the collection) whether the suffix at each of the first
-    rows, up to the middle, shares ``length`` symbols with another document's. Symbol 0 equals nothing."""
+    at = np.flatnonzero(_chosen(h, NEAR + 1))
+    wide = _chosen(h, SIDE + 1)[at] if n >= LENGTH else np.zeros(len(at), bool)
+    side = np.where(wide, SIDE, NEAR)
+    start, end = np.maximum(at - side, 0), np.minimum(at + CORE + side, n)
+    shape = (at - start).astype(np.uint64) * np.uint64(1009) + (end - at).astype(np.uint64) * np.uint64(2) + wide
+    return at, h[at], _mixed(_mixed((sums[end] - sums[start]) * down[start]) + shape), wide
+
+
+def repeats(symbols: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each of the lengths and each document (column of ``symbols``, row = column of the collection), whether the
+    suffix at each of the first rows, up to the middle, shares that many symbols, the middle's among them, with
+    another document's. Symbol 0 equals nothing."""
     rows, m = symbols.shape
     middle = rows // 2
-    order, common, out = np.arange(m), np.zeros(m + 1, np.int16), np.zeros((m, middle + 1), bool)
+    order, common, out = np.arange(m), np.zeros(m + 1, np.int16), [np.zeros((m, middle + 1), bool) for _ in lengths]
     for col in range(rows - 1, -1, -1):
         segment = symbols[col][order]  # the transform's symbols before the suffixes of the round before
         place = np.argsort(segment, kind="stable")  # where the new suffixes go
@@ -108,9 +118,10 @@ def repeats(symbols: np.ndarray, length: int) -> np.ndarray:
                 least[far] = np.minimum.reduceat(common, ends)[::2]
             new[at + 1] = least + 1
         order, common = order[place], new
-        if col <= middle:
-            deep = common >= length
-            out[order, col] = deep[:-1] | deep[1:]
+        for length, found in zip(lengths, out):
+            if middle - length < col <= middle:
+                deep = common >= length
+                found[order, col] = deep[:-1] | deep[1:]
     return out
 
 
@@ -131,11 +142,11 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
             found = [anchors(t.encode()) for t in b.column("text").to_pylist()]
             sizes = [len(f[0]) for f in found]
             if sum(sizes):
-                pos, a, s = (np.concatenate([f[k] for f in found]) for k in range(3))
+                pos, a, s, wide = (np.concatenate([f[k] for f in found]) for k in range(4))
                 doc, th = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("doc", "th"))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(pos.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(s.view(np.int64))], ["doc", "th", "pos", "a", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(pos.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(wide)], ["doc", "th", "pos", "a", "s", "wide"])
 
-    return texts.select("text", "doc", "th").mapInArrow(run, "doc long, th long, pos int, a long, s long")
+    return texts.select("text", "doc", "th").mapInArrow(run, "doc long, th long, pos int, a long, s long, wide boolean")
 
 
 def _contexts(joined: DataFrame) -> DataFrame:
@@ -147,17 +158,18 @@ def _contexts(joined: DataFrame) -> DataFrame:
             for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist()):
                 raw = text.encode()
                 for w in wanted:
-                    p = w["pos"]
-                    out.append((w["a"], w["s"], w["hot"], raw[max(p - SIDE, 0) : p], raw[p + CORE : p + LENGTH]))
+                    p, side = w["pos"], SIDE if w["wide"] else NEAR
+                    out.append((w["a"], w["s"], w["hot"], w["wide"], raw[max(p - side, 0) : p], raw[p + CORE : p + CORE + side]))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["a", "s", "hot", "lead", "tail"])
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["a", "s", "hot", "wide", "lead", "tail"])
 
-    return joined.mapInArrow(run, "a long, s long, hot boolean, lead binary, tail binary")
+    return joined.mapInArrow(run, "a long, s long, hot boolean, wide boolean, lead binary, tail binary")
 
 
 def _collections(contexts: DataFrame) -> DataFrame:
-    """(a, s, lo, hi): runs of repeated starts around the anchors of each context, from blocks of whole collections."""
+    """(a, s, long, lo, hi): runs of repeated starts (of strings of LENGTH, or of SHORT) around the anchors of each
+    context, from blocks of whole collections."""
 
     def block(a: list, s: list, lead: list, tail: list) -> pa.RecordBatch:
         m = len(a)
@@ -169,10 +181,9 @@ def _collections(contexts: DataFrame) -> DataFrame:
             symbols[SIDE + 1 : SIDE + 1 + len(y), k] = y
             symbols[SIDE + 1 : SIDE + 1 + len(y), k] += 1
         symbols[SIDE] = np.unique(np.array(a), return_inverse=True)[1] + 1
-        flags = repeats(symbols, SIDE + 1)
-        got = [(a[k], s[k], *runs(flags[k])) for k in np.flatnonzero(flags.any(axis=1))]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], ["a", "s", "lo", "hi"])
+        got = [(a[k], s[k], long, *runs(flags[k])) for long, flags in zip((True, False), repeats(symbols, (SIDE + 1, NEAR + 1))) for k in np.flatnonzero(flags.any(axis=1))]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], ["a", "s", "long", "lo", "hi"])
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
@@ -186,24 +197,24 @@ def _collections(contexts: DataFrame) -> DataFrame:
         if held[0]:
             yield block(*held)
 
-    return contexts.repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, s long, lo array<int>, hi array<int>")
+    return contexts.repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, s long, long boolean, lo array<int>, hi array<int>")
 
 
-def _hot(contexts: DataFrame) -> DataFrame:
-    """The same for large groups, by hashes of the bytes around the core: pieces first, then single starts."""
-    spans = -(-(SIDE + 1) // PIECE)
+def _hot(contexts: DataFrame, side: int) -> DataFrame:
+    """The same for large groups and strings of one length, by hashes of the bytes around the core: pieces first, then single starts."""
+    spans = -(-(side + 1) // PIECE)
     bytes_ = lambda before, after: f"substring(lead, greatest(length(lead) - ({before}), 0) + 1, {before}), least(length(lead), {before}), substring(tail, 1, {after}), least(length(tail), {after})"
-    split = contexts.select("a", "s", "lead", "tail", F.expr(f"explode(sequence(0, {spans - 1}))").alias("r")).withColumns({"i0": F.col("r") * PIECE, "i1": F.least((F.col("r") + 1) * PIECE - 1, F.lit(SIDE))})
-    pieces = spool(split.select("a", "s", "i0", "i1", F.expr(f"xxhash64(a, r, {bytes_(f'{SIDE} - i1', 'i0')})").alias("core"), F.expr(f"xxhash64(a, r, {bytes_(f'{SIDE} - i0', 'i1')})").alias("whole")))
+    split = contexts.select("a", "s", "lead", "tail", F.expr(f"explode(sequence(0, {spans - 1}))").alias("r")).withColumns({"i0": F.col("r") * PIECE, "i1": F.least((F.col("r") + 1) * PIECE - 1, F.lit(side))})
+    pieces = spool(split.select("a", "s", "i0", "i1", F.expr(f"xxhash64(a, r, {bytes_(f'{side} - i1', 'i0')})").alias("core"), F.expr(f"xxhash64(a, r, {bytes_(f'{side} - i0', 'i1')})").alias("whole")))
     wholes = spool(pieces.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("a", "s", "i0", "i1")).alias("one")))
     mixed = spool(wholes.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"))
     same = pieces.join(spool(wholes.where("n > 1").select("core", "whole")), ["core", "whole"]).select("a", "s", "i0", "i1")
     starts = wholes.join(mixed, "core").select("one.*").join(contexts, ["a", "s"]).select("a", "s", "lead", "tail", F.expr("explode(sequence(i0, i1))").alias("i"))
-    starts = starts.where(F.expr(f"length(lead) >= {SIDE} - i AND length(tail) >= i")).select("a", "s", "i", F.expr(f"xxhash64(a, i, {bytes_(f'{SIDE} - i', 'i')})").alias("h"))
+    starts = starts.where(F.expr(f"length(lead) >= {side} - i AND length(tail) >= i")).select("a", "s", "i", F.expr(f"xxhash64(a, i, {bytes_(f'{side} - i', 'i')})").alias("h"))
     starts = spool(starts)
     often = spool(starts.groupBy("h").count().where("count > 1").select("h"))
     single = starts.join(often, "h").select("a", "s", F.col("i").alias("i0"), F.col("i").alias("i1"))
-    return same.unionByName(single).groupBy("a", "s").agg(F.collect_set(F.struct("i0", "i1")).alias("x")).select("a", "s", F.expr(f"transform(x, y -> y.i0 - {SIDE})").alias("lo"), F.expr(f"transform(x, y -> y.i1 - {SIDE})").alias("hi"))
+    return same.unionByName(single).groupBy("a", "s").agg(F.collect_set(F.struct("i0", "i1")).alias("x")).select("a", "s", F.expr(f"transform(x, y -> y.i0 - {side})").alias("lo"), F.expr(f"transform(x, y -> y.i1 - {side})").alias("hi"))
 
 
 def repeated_starts(texts: DataFrame) -> DataFrame:
@@ -212,76 +223,85 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     often = spool(rows.groupBy("a").count().where("count > 1").select("a"))
     members = spool(rows.join(often, "a"))
     free(rows, often)
-    kinds = spool(members.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("one")))
+    kinds = spool(members.groupBy("a", "s", "wide").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("one")))
     groups = spool(kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     total = groups.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     hot = min(max(total // SHARE, HOT), MOST)
-    wanted = spool(kinds.join(groups, "a").select("one.doc", "one.th", F.struct("one.pos", "a", "s", (F.col("kinds") > hot).alias("hot")).alias("w")).groupBy("doc", "th").agg(F.collect_list("w").alias("wanted")))
+    wanted = spool(kinds.join(groups, "a").select("one.doc", "one.th", F.struct("one.pos", "a", "s", "wide", (F.col("kinds") > hot).alias("hot")).alias("w")).groupBy("doc", "th").agg(F.collect_list("w").alias("wanted")))
     contexts = spool(_contexts(texts.join(wanted, ["doc", "th"]).select("text", "wanted")))
     free(groups, wanted)
-    all_starts = kinds.where("n > 1").select("a", "s", F.array(F.lit(-SIDE)).alias("lo"), F.array(F.lit(0)).alias("hi"))
-    part = _collections(contexts.where("NOT hot")).unionByName(_hot(contexts.where("hot")))
+    starts = lambda long, side: kinds.where("n > 1").select("a", "s", F.lit(long).alias("long"), F.array(F.lit(-side)).alias("lo"), F.array(F.lit(0)).alias("hi"), "wide")
+    all_starts = starts(True, SIDE).where("wide").unionByName(starts(False, NEAR)).drop("wide")
+    part = _collections(contexts.where("NOT hot"))
+    if contexts.where("hot").limit(1).count():
+        large = contexts.where("hot")
+        part = part.unionByName(_hot(large.where("wide"), SIDE).withColumn("long", F.lit(True)))
+        near = large.withColumns({"lead": F.expr(f"substring(lead, greatest(length(lead) - {NEAR}, 0) + 1, {NEAR})"), "tail": F.expr(f"substring(tail, 1, {NEAR})")})
+        part = part.unionByName(_hot(near, NEAR).withColumn("long", F.lit(False)))
     part = spool(part)
     free(contexts)
-    found = spool(all_starts.unionByName(part).select("a", "s", F.explode(F.arrays_zip("lo", "hi")).alias("x")).groupBy("a", "s").agg(F.collect_set("x").alias("x")))
-    spans = members.join(found, ["a", "s"]).select("doc", "th", "pos", F.explode("x").alias("x")).select("doc", "th", (F.col("pos") + F.col("x.lo")).alias("lo"), (F.col("pos") + F.col("x.hi")).alias("hi")).distinct()
-    out = spool(spans.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")))
+    found = spool(all_starts.unionByName(part).select("a", "s", F.explode(F.arrays_zip("lo", "hi")).alias("x"), "long").groupBy("a", "s").agg(F.collect_set(F.struct("long", "x.lo", "x.hi")).alias("x")))
+    spans = members.join(found, ["a", "s"]).select("doc", "th", "pos", F.explode("x").alias("x")).select("doc", "th", "x.long", (F.col("pos") + F.col("x.lo")).alias("lo"), (F.col("pos") + F.col("x.hi")).alias("hi")).distinct()
+    out = spool(spans.groupBy("doc", "th").agg(F.collect_list(F.struct("long", "lo", "hi")).alias("starts")))
     free(members, kinds, part, found)
     return out
 
 
-def covered(starts: list[dict] | None, size: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by strings of LENGTH that start in the given ranges."""
+def covered(starts: list[dict], size: int, length: int = LENGTH) -> list[tuple[int, int]]:
+    """Maximal runs of bytes covered by strings of this length that start in the given ranges."""
     out: list[list[int]] = []
-    for lo, hi in sorted((max(x["lo"], 0), min(x["hi"], size - LENGTH)) for x in starts or ()):
+    for lo, hi in sorted((max(x["lo"], 0), min(x["hi"], size - length)) for x in starts):
         if lo > hi:
             continue
         if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + LENGTH)
+            out[-1][1] = max(out[-1][1], hi + length)
         else:
-            out.append([lo, hi + LENGTH])
+            out.append([lo, hi + length])
     return [(a, b) for a, b in out]
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (bytes), n_bytes, n_removed, n_spans, spans."""
+    """doc_id, kept (bytes), n_bytes, n_removed, n_spans, and n_passages: maximal runs covered by repeated strings of
+    SHORT bytes that hold more than WORDS words, whether removed or not."""
     texts = keyed(docs)
     joined = texts.join(repeated_starts(texts), ["doc", "th"], "left").select("doc_id", "text", "starts")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, n_passages long, kept binary"
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 256):
             out = []
             for doc_id, text, starts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "starts"))):
                 raw = text.encode()
-                gone = covered(starts, len(raw))
+                gone = covered([x for x in starts or () if x["long"]], len(raw))
+                shared = covered([x for x in starts or () if not x["long"]], len(raw), SHORT)
                 at, kept = 0, []
                 for x, y in gone:
                     kept.append(raw[at:x])
                     at = y
                 kept.append(raw[at:])
-                out.append((doc_id, len(raw), sum(y - x for x, y in gone), len(gone), b"".join(kept)))
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                out.append((doc_id, len(raw), sum(y - x for x, y in gone), len(gone), sum(len(raw[x:y].split()) > WORDS for x, y in shared), b"".join(kept)))
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "n_passages", "kept"])
 
     return joined.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
 
 
-def brute(texts: list[str]) -> list[tuple[int, int, int, str]]:
-    """For tests: (n_bytes, n_removed, n_spans, sha256) by counting all strings."""
+def brute(texts: list[str]) -> list[tuple[int, int, int, str, int]]:
+    """For tests: (n_bytes, n_removed, n_spans, sha256, n_passages) by counting all strings."""
     from collections import Counter
 
     raws = [t.encode() for t in texts]
-    seen = Counter(r[i : i + LENGTH] for r in raws for i in range(len(r) - LENGTH + 1))
+    seen = {n: Counter(r[i : i + n] for r in raws for i in range(len(r) - n + 1)) for n in (LENGTH, SHORT)}
     out = []
     for r in raws:
-        gone = covered([{"lo": i, "hi": i} for i in range(len(r) - LENGTH + 1) if seen[r[i : i + LENGTH]] > 1], len(r))
+        gone, shared = (covered([{"lo": i, "hi": i} for i in range(len(r) - n + 1) if seen[n][r[i : i + n]] > 1], len(r), n) for n in (LENGTH, SHORT))
         mask = np.ones(len(r), bool)
         for x, y in gone:
             mask[x:y] = False
-        out.append((len(r), sum(y - x for x, y in gone), len(gone), hashlib.sha256(np.frombuffer(r, np.uint8)[mask].tobytes()).hexdigest()))
+        kept = hashlib.sha256(np.frombuffer(r, np.uint8)[mask].tobytes()).hexdigest()
+        out.append((len(r), sum(y - x for x, y in gone), len(gone), kept, sum(len(r[x:y].split()) > WORDS for x, y in shared)))
     return out
