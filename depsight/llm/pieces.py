@@ -7,7 +7,7 @@ characters the lattice has a cut point, so a text is a chain of small lattices,
 (runs of characters that no piece joins to others, as words and punctuation, are chunks that are remembered whole);
 the N best of a text combine the N best of its chain, and only the chunks with the smallest losses can take part.
 
-Equal scores: the longest last piece first. Decoding is exact: white space is kept, unknown characters and literal
+Equal scores: the longest last piece first. Alternatives are given by what differs from the best segmentation. Decoding is exact: white space is kept, unknown characters and literal
 U+2581 go through byte pieces, so that every text comes back.
 
 Defined results: null and empty texts have no ids and one segmentation of score 0; repeated rows and null ids are
@@ -20,8 +20,10 @@ import heapq
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import count
+from itertools import accumulate, count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from pyspark.sql import DataFrame
 from .common import Memo, batches, id_text
 
 SPACE, LITERAL, N = "▁", "\ud800", 4
+#: Characters of the trie's tables, and the longest chunk that is searched together with others.
+LETTERS, LONG = 192, 40
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 MODELS: dict[str, Lattice] = {}
@@ -73,8 +77,10 @@ class Lattice:
         runs = [f"[{re.escape(''.join(g))}]+" for g in groups(b for b in self.joined if SPACE not in b)]
         self.chunks = re.compile("|".join([f"{SPACE}+(?:{'|'.join(runs)})?", *runs, "."]), re.DOTALL).findall if self.free else lambda t: [t]
         self.part = Memo(self._part, 20_000)
-        self.whole = Memo(self._whole, 200_000)
+        self.whole = Memo(self._whole, 300_000)
         self.lists = Memo(lambda c: self._best(c, N), 10_000)
+        self.plain: tuple | None = None
+        self.single: set[str] | None = None
 
     @classmethod
     def of(cls, path: str) -> Lattice:
@@ -153,6 +159,93 @@ class Lattice:
                 ids.append(piece)
         return array("i", ids[::-1]).tobytes(), alpha[n], alpha[n] - second[n]
 
+    def _grid(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
+        """The trie as tables: the child by node and letter (inner nodes first, 0 the root, -1 none), piece (-1 none) and
+        score by node, and the letters, which are the LETTERS characters that most pieces hold."""
+        if self.plain is None:
+            often = Counter(c for p, v in self.table.items() if v is not None for c in p).most_common(LETTERS)
+            letters = {ord(c): k for k, (c, _) in enumerate(often)}
+            inner: list[dict] = [self.trie]
+            for node in inner:
+                inner += [child for c, (child, _) in node.items() if child and ord(c) in letters]
+            at = {id(node): k for k, node in enumerate(inner)}
+            child, leaves = np.full((len(inner), LETTERS), -1, np.int32), len(inner)
+            piece, score = {}, {}
+            for k, node in enumerate(inner):
+                for c, (below, own) in node.items():
+                    if ord(c) in letters:
+                        to = at.get(id(below))
+                        if to is None:
+                            to, leaves = leaves, leaves + 1
+                        child[k, letters[ord(c)]] = to
+                        if own is not None:
+                            piece[to], score[to] = own
+            pieces, scores = np.full(leaves, -1, np.int32), np.zeros(leaves)
+            pieces[list(piece)], scores[list(score)] = list(piece.values()), list(score.values())
+            self.plain = child, pieces, scores, letters
+        return self.plain
+
+    def search(self, words: list[str]) -> Iterator[tuple[str, tuple[bytes, float, float, bytes]]]:
+        """What _whole gives, for many words at a time: each step of the two-best forward pass runs over all words.
+        Only words whose characters are all letters of the grid and pieces of their own."""
+        child, pieces, scores, letters = self._grid()
+        words = sorted(words, key=len, reverse=True)
+        sizes = np.array([len(w) for w in words])
+        rows, longest = len(words), int(sizes[0])
+        code = np.zeros((longest, rows), np.int32)
+        code.T[np.arange(longest) < sizes[:, None]] = np.frombuffer("".join(words).translate(letters).encode("utf-32-le"), "<u4")
+        worst = -np.inf
+        alpha, second = np.full((longest + 1, rows), worst), np.full((longest + 1, rows), worst)
+        came, piece = np.zeros((longest + 1, rows), np.int32), np.zeros((longest + 1, rows), np.int32)
+        alpha[0] = 0.0
+        open_ = np.searchsorted(-sizes, -np.arange(longest), side="left")  # words longer than each place come first
+        for i in range(longest):
+            row, node = np.arange(open_[i]), np.zeros(open_[i], np.int32)
+            for j in range(i + 1, min(i + self.longest, longest) + 1):
+                row, node = (row, node) if len(row) <= open_[j - 1] else (row[: (k := int(np.searchsorted(row, open_[j - 1])))], node[:k])
+                inner = node < len(child)
+                row, node = row[inner], node[inner]
+                node = child[node, code[j - 1, row]]
+                live = node >= 0
+                row, node = row[live], node[live]
+                if not len(row):
+                    break
+                ends = pieces[node] >= 0
+                r, n = row[ends], node[ends]
+                x, y, old, old2 = alpha[i, r] + scores[n], second[i, r] + scores[n], alpha[j, r], second[j, r]
+                better = x > old
+                second[j, r] = np.where(better, np.maximum(y, old), np.maximum(x, old2))
+                alpha[j, r] = np.where(better, x, old)
+                came[j, r], piece[j, r] = np.where(better, i, came[j, r]), np.where(better, pieces[n], piece[j, r])
+        ids, at, count, every = np.zeros((rows, longest), np.int32), sizes.copy(), np.zeros(rows, np.int64), np.arange(rows)
+        left = every
+        while len(left):
+            count[left] += 1
+            ids[left, longest - count[left]] = piece[at[left], left]
+            at[left] = came[at[left], left]
+            left = left[at[left] > 0]
+        best = alpha[sizes, every]
+        loss = best - second[sizes, every]
+        raw, ends = ids.tobytes(), 4 * longest * np.arange(1, rows + 1)
+        text = self.text.__getitem__
+        for w, a, b, x, y in zip(words, (ends - 4 * count).tolist(), ends.tolist(), best.tolist(), loss.tolist()):
+            own = raw[a:b]
+            yield w, (own, x, y, b"".join(map(text, array("i", own))))
+
+    def learn(self, texts: Iterable[list[str]]) -> None:
+        """Search the chunks that are not remembered yet, those of common letters together."""
+        known = self.whole
+        new = set().union(*texts).difference(known)
+        if known.old:
+            for c in new.intersection(known.old):
+                known[c]  # noqa: B018  moves it over
+            new.difference_update(known)
+        if self.single is None:
+            self.single = {c for c in map(chr, self._grid()[3]) if self.table.get(c)}
+        words = [c for c in new if 1 < len(c) <= LONG and self.single.issuperset(c)]
+        for at in range(0, len(words), 8192):
+            known.update(self.search(words[at : at + 8192]))
+
     def _bytes(self, c: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in (SPACE if c == LITERAL else c).encode())
 
@@ -160,11 +253,14 @@ class Lattice:
         cuts = [0, *(k + 1 for k in range(len(chunk) - 1) if chunk[k : k + 2] not in self.joined), len(chunk)]
         return [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _whole(self, chunk: str) -> tuple[bytes, float, float]:
-        if len(chunk) == 1:
-            return self._part(chunk)
-        got = [self.part[p] for p in self.parts(chunk)]
-        return got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), sum([g[1] for g in got]), min([g[2] for g in got]))
+    def _whole(self, chunk: str) -> tuple[bytes, float, float, bytes]:
+        return self._joined([self._part(chunk)] if len(chunk) == 1 else [self.part[p] for p in self.parts(chunk)])
+
+    def _joined(self, got: list[tuple[bytes, float, float]]) -> tuple[bytes, float, float, bytes]:
+        """Ids, score, loss of the second best and decoded bytes of a chunk, from its parts."""
+        ids = b"".join([g[0] for g in got])
+        loss = got[0][2] if len(got) == 1 else min([g[2] for g in got])
+        return ids, sum([g[1] for g in got]), loss, b"".join(map(self.text.__getitem__, array("i", ids)))
 
     def _astar(self, s: str, n: int) -> Iterator[tuple[float, tuple[int, ...]]]:
         """Segmentations of s by falling score, at most n."""
@@ -203,18 +299,20 @@ class Lattice:
         vary = set(heapq.nsmallest(n - 1, range(len(chunks)), key=lambda k: (losses[k], k)))
         return merge([self._best(c, n if k in vary else 1) for k, c in enumerate(chunks)], n)
 
-    def scores(self, chunks: list[str], got: list[tuple[bytes, float, float]], n: int = N) -> list[float]:
-        """The scores of nbest, without its ids; got: each chunk's best."""
-        losses, lost = [g[2] for g in got], [0.0]
-        least = sorted(losses)[: n - 1]
-        if least and least[0] < float("inf"):
-            for k in [k for k, x in enumerate(losses) if x <= least[-1]][: n - 1 + losses.count(least[-1])]:
-                if len(lost) == n and losses[k] >= lost[-1]:
+    def ranked(self, chunks: list[str], got: list[tuple], n: int = N) -> list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]]:
+        """(score, changes) of the n best: the best first, each other by the chunks whose ids differ from the best's.
+        got: each chunk's best."""
+        losses, lost = [g[2] for g in got], [(0.0, ())]
+        least = heapq.nsmallest(n - 1, losses) if len(losses) < 16 else np.partition(losses, n - 2)[: n - 1].tolist()
+        worst = max(least, default=float("inf"))
+        if min(least, default=worst) < float("inf"):
+            for k in [k for k, x in enumerate(losses) if x <= worst][: n - 1 + losses.count(worst)]:
+                if len(lost) == n and losses[k] >= lost[-1][0]:
                     continue
                 own = self.lists[chunks[k]] if n == N else self._best(chunks[k], n)
-                lost = heapq.nsmallest(n, [a + own[0][0] - s for a in lost for s, _ in own])
+                lost = heapq.nsmallest(n, [(a + own[0][0] - s, c if ids is own[0][1] else (*c, (k, ids))) for a, c in lost for s, ids in own], key=itemgetter(0))
         best = sum([g[1] for g in got])
-        return [best - x for x in lost]
+        return [(best - x, c) for x, c in lost]
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.text.__getitem__, ids))
@@ -244,30 +342,49 @@ def merge(lists: list[list[tuple[float, tuple[int, ...]]]], n: int) -> list[tupl
     return [(s, tuple(i for q in p for i in q)) for s, p in out]
 
 
-SCHEMA = "doc_id long, ids array<int>, n_tokens int, nbest_scores array<double>, decoded_crc32 long, round_trip boolean"
+SCHEMA = "doc_id long, ids array<int>, n_tokens int, nbest_scores array<double>, alternatives array<struct<score double, edits array<struct<at int, length int, ids array<int>>>>>, decoded_crc32 long, round_trip boolean"
+_EDIT = pa.struct([("at", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])
+_OTHERS = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(_EDIT))]))
+NAMES = ["doc_id", "ids", "n_tokens", "nbest_scores", "alternatives", "decoded_crc32", "round_trip"]
+
+
+def edited(ids: list[int], edits: Iterable[dict]) -> list[int]:
+    """The ids of an alternative: those of the best with ``length`` ids from ``at`` on replaced, for each edit."""
+    out, done = [], 0
+    for e in sorted(edits, key=lambda e: e["at"]):
+        out += ids[done : e["at"]] + list(e["ids"])
+        done = e["at"] + e["length"]
+    return out + ids[done:]
 
 
 def encode(docs: DataFrame, model: str, n: int = N) -> DataFrame:
-    """doc_id, ids of the best segmentation, their number, the n best scores, crc32 of the decoded text, whether it equals the text."""
+    """doc_id, ids of the best segmentation, their number, the n best scores, the 2nd to nth segmentations as edits of
+    the best's ids (see edited), crc32 of the decoded text, and whether all segmentations decode to the text."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice.of(model)
-        whole = lattice.whole.__getitem__
+        whole, text_of = lattice.whole.__getitem__, lattice.text.__getitem__
         for b in batches(it, 256):
-            raw, sizes, scores, crcs, same = [], [], [], [], []
-            for text in b.column("text").to_pylist():
-                chunks = lattice.split(text)
+            raw, sizes, scores, others, crcs, same = [], [], [], [], [], []
+            texts = b.column("text").to_pylist()
+            split = list(map(lattice.split, texts))
+            lattice.learn(split)
+            for text, chunks in zip(texts, split):
                 got = list(map(whole, chunks))
                 ids = b"".join([g[0] for g in got])
                 raw.append(ids)
                 sizes.append(len(ids) // 4)
-                scores.append(lattice.scores(chunks, got, n))
-                back = lattice.decode(np.frombuffer(ids, "<i4").tolist())
-                crcs.append(zlib.crc32(back.encode()))
-                same.append(back == text)
+                ranks = lattice.ranked(chunks, got, n)
+                scores.append([s for s, _ in ranks])
+                begin = list(accumulate([len(g[0]) for g in got], initial=0)) if len(ranks) > 1 else []
+                others.append([(s, [(begin[k] // 4, len(got[k][0]) // 4, new) for k, new in c]) for s, c in ranks[1:]])
+                back = b"".join([g[3] for g in got])
+                back = back[1:] if lattice.prefix and back[:1] == b" " else back
+                crcs.append(zlib.crc32(back))
+                same.append(back == text.encode() and all(b"".join(map(text_of, new)) == got[k][3] for _, c in ranks[1:] for k, new in c))
             offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(sizes, pa.int32()), pa.array(scores, pa.list_(pa.float64())), pa.array(crcs, pa.int64()), pa.array(same)], [f.split()[0] for f in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(sizes, pa.int32()), pa.array(scores, pa.list_(pa.float64())), pa.array(others, _OTHERS), pa.array(crcs, pa.int64()), pa.array(same)], NAMES)
         lattice.whole.old, lattice.part.old = {}, {}  # the worker goes on to other work
 
     return id_text(docs).mapInArrow(run, SCHEMA)
