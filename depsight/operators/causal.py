@@ -21,7 +21,7 @@ def cve_features(g: Graph) -> DataFrame:
 
 
 def _both_ends(g: Graph, pairs: DataFrame, one: str, other: str) -> DataFrame:
-    feats = cve_features(g)
+    feats = checkpointed(cve_features(g))  # both ends read it
     out = pairs
     for end, name in (("source", one), ("target", other)):
         f = feats.select(F.col("owner").alias(end), *[F.col(c).alias(f"{name}_cve_{c}") for c in ("exists", "score", "num")])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cwe_ids, jaccard, without_last
+from ..sources.scratch import checkpointed
 
 THRESHOLDS = [k / 10 for k in range(1, 10)]
 
@@ -36,14 +37,25 @@ def lists(index: DataFrame) -> DataFrame:
     return index.groupBy("key").agg(F.array_sort(F.collect_list("member")).alias("members"))
 
 
-def pairs(index: DataFrame) -> DataFrame:
-    """a, b, sim of keys that share a member, a < b: an equi-join on the member, counted."""
-    sets = index.distinct()
+def set_sizes(index: DataFrame) -> DataFrame:
+    """a, b, both, na, nb of keys that share a member, a < b: an equi-join on the member, counted, and their own sizes."""
+    sets = checkpointed(index.distinct())
     sizes = sets.groupBy("key").agg(F.count("*").alias("n"))
     x, y = sets.select(F.col("key").alias("a"), "member"), sets.select(F.col("key").alias("b"), "member")
     both = x.join(y, "member").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
     na, nb = sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), sizes.select(F.col("key").alias("b"), F.col("n").alias("nb"))
-    return both.join(na, "a").join(nb, "b").select("a", "b", jaccard(F.col("both"), F.col("na"), F.col("nb")).alias("sim"))
+    return both.join(na, "a").join(nb, "b").select("a", "b", "both", "na", "nb")
+
+
+def pairs(index: DataFrame) -> DataFrame:
+    """a, b, sim of keys that share a member, a < b."""
+    return set_sizes(index).select("a", "b", jaccard(F.col("both"), F.col("na"), F.col("nb")).alias("sim"))
+
+
+def ascending(df: DataFrame, value: str, name: str, k: int) -> DataFrame:
+    """The k rows of smallest value, ties by name, with their place."""
+    small = df.orderBy(value, name).limit(k)
+    return small.withColumn("place", F.row_number().over(Window.orderBy(value, name)).cast("bigint"))  # k rows
 
 
 def thresholds(index: DataFrame, at: list[float] | None = None) -> DataFrame:

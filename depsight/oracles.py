@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 REL = """
-rel AS (
+rel AS MATERIALIZED (
   SELECT o_orderkey AS o, epoch_ms(o_orderdate) AS ts, min(l_partkey) AS owner, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate
 )"""
@@ -23,28 +23,28 @@ added AS (
   UNION ALL SELECT 'r' || o, o, 3, 'POPULARITY_1_YEAR', CAST(quantity AS VARCHAR) FROM rel WHERE o % 5 = 0
   UNION ALL SELECT 'a' || p, p, 4, 'SPEED', (s // 1000) || '.' || lpad(CAST(s % 1000 AS VARCHAR), 3, '0') FROM parts WHERE p % 2 = 0
 ),
-nodes AS (
+nodes AS MATERIALIZED (
   SELECT p_partkey * 16 AS node_seq, 'a' || p_partkey AS node_id, ':Artifact' AS labels, 'grp:a' || p_partkey AS id, NULL::VARCHAR AS version, NULL::VARCHAR AS timestamp, NULL::VARCHAR AS type, NULL::VARCHAR AS value FROM part
   UNION ALL SELECT o * 16 + (1::BIGINT << 50), 'r' || o, ':Release', 'grp:a' || owner || ':' || o, CAST(o AS VARCHAR), CAST(ts AS VARCHAR), NULL, NULL FROM rel
   UNION ALL SELECT num * 16 + k + (1::BIGINT << 51), owner || ':v' || k, ':AddedValue', owner || ':' || type, NULL, NULL, type, value FROM added
 ),
-edges AS (
+edges AS MATERIALIZED (
   SELECT num * 16 + k AS edge_seq, owner AS src, owner || ':v' || k AS dst, 'addedValues' AS label FROM added
   UNION ALL SELECT DISTINCT o * (1::BIGINT << 28) + l_partkey + (1::BIGINT << 58), 'r' || o, 'a' || l_partkey, 'dependency' FROM rel JOIN lineitem ON l_orderkey = o WHERE l_partkey <> owner
   UNION ALL SELECT o + (1::BIGINT << 61), 'a' || owner, 'r' || o, 'relationship_AR' FROM rel
 ),
-att AS (SELECT e.src AS owner, e.edge_seq, n.type, n.value FROM edges e JOIN nodes n ON e.dst = n.node_id WHERE e.label = 'addedValues' AND n.type IS NOT NULL),
-fst AS (SELECT * FROM att QUALIFY row_number() OVER (PARTITION BY owner ORDER BY edge_seq) = 1),
+att AS MATERIALIZED (SELECT e.src AS owner, e.edge_seq, n.type, n.value FROM edges e JOIN nodes n ON e.dst = n.node_id WHERE e.label = 'addedValues' AND n.type IS NOT NULL),
+fst AS MATERIALIZED (SELECT * FROM att QUALIFY row_number() OVER (PARTITION BY owner ORDER BY edge_seq) = 1),
 cvx AS (
   SELECT owner, edge_seq, CASE WHEN type = 'CVE' THEN json_array_length(replace(value, '\\"', '"'), '$.cve') ELSE 0 END AS n, type FROM att
 ),
-strict AS (SELECT f.owner FROM fst f JOIN cvx c USING (owner, edge_seq) WHERE f.type = 'CVE' AND c.n > 0),
+strict AS MATERIALIZED (SELECT f.owner FROM fst f JOIN cvx c USING (owner, edge_seq) WHERE f.type = 'CVE' AND c.n > 0),
 strict_any AS (SELECT DISTINCT owner FROM cvx WHERE type = 'CVE' AND n > 0),
 typed AS (SELECT owner FROM fst WHERE type = 'CVE'),
 ent AS (
   SELECT owner, unnest(from_json(json_extract(replace(value, '\\"', '"'), '$.cve'), '[{{"cwe":"VARCHAR","severity":"VARCHAR","name":"VARCHAR"}}]')) AS c FROM att WHERE type = 'CVE'
 ),
-sev AS (
+sev AS MATERIALIZED (
   SELECT t.owner, CAST(coalesce(sum(CASE WHEN c.severity = 'CRITICAL' THEN 4 WHEN c.severity = 'HIGH' THEN 3 WHEN c.severity = 'MODERATE' THEN 2 WHEN c.severity = 'LOW' THEN 1 ELSE 0 END), 0) AS BIGINT) AS severity,
     count(c) AS cves FROM typed t LEFT JOIN ent USING (owner) GROUP BY t.owner
 ),

@@ -13,7 +13,8 @@ from .operators import attrs, causal, centrality, degree, dependencies, paths, s
 from .plans import drivers
 from .schema import ARTIFACT, NEEDS, OWNS, RELEASE, Graph
 from .sources import graph as io
-from .sources.adapter import cve_entries, package_graph, table, trade_graph
+from .sources.adapter import cve_entries, package_graph, region_graph, table, trade_graph
+from .sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,14 +45,6 @@ def on_trade(name: str, body: str | None = None, more: str = ""):
     return register(name, O.trade(body, more) if body else None, trade_graph)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- sources and sinks
 
 COUNT_NODES = "SELECT labels, count(*) AS n, count(value) AS with_value, count(timestamp) AS timed FROM nodes GROUP BY labels"
@@ -69,28 +62,28 @@ def s15e(g: Graph) -> DataFrame:
 
 @register("s1_graphml_round_trip", O.graph("SELECT node_id, labels, id, type, value FROM nodes WHERE labels = ':AddedValue'"))
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "graphml")
+    path = scratch_path(spark, "graphml")
     io.write_graphml(package_graph(spark, sf_dir), path)
     return io.read_graphml(spark, f"{path}/*").nodes.where("labels = ':AddedValue'").select("node_id", "labels", "id", "type", "value")
 
 
 @register("s1_graphml_edges", O.graph("SELECT src, dst, label FROM edges"))
 def s1e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "graphml")
+    path = scratch_path(spark, "graphml")
     io.write_graphml(package_graph(spark, sf_dir), path)
     return io.read_graphml(spark, f"{path}/*").edges.select("src", "dst", "label")
 
 
 @register("s2_parquet_cache", O.graph("SELECT edge_seq, src, dst, label FROM edges WHERE label = 'relationship_AR'"))
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "graph")
+    path = scratch_path(spark, "graph")
     io.write_parquet(package_graph(spark, sf_dir), path)
     return io.read_parquet(spark, path).label(OWNS).select("edge_seq", "src", "dst", "label")
 
 
 @register("s4_materialized", O.graph("SELECT label, count(*) AS n FROM edges GROUP BY label"))
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "cache")
+    path = scratch_path(spark, "cache")
     make = lambda: package_graph(spark, sf_dir).edges.groupBy("label").agg(F.count("*").alias("n"))
     io.materialized(spark, path, make)
     return io.materialized(spark, path, make)
@@ -98,28 +91,28 @@ def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("s5_csv_round_trip", O.graph("SELECT node_id, outdegree, degree, severity FROM fea"))
 def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     io.write_csv(stats.feature_matrix(package_graph(spark, sf_dir)).select("node_id", "outdegree", "degree", "severity"), path)
     return io.read_csv(spark, path, "node_id string, outdegree bigint, degree bigint, severity bigint")
 
 
 @register("s7_string_csv", O.graph("SELECT id, type, value FROM nodes WHERE type IS NOT NULL"))
 def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     io.write_csv(package_graph(spark, sf_dir).nodes.where("type is not null").select("id", "type", "value"), path)
     return io.read_strings(spark, path)
 
 
 @register("s8_header", "SELECT unnest(['id', 'type', 'value']) AS name")
 def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     io.write_csv(package_graph(spark, sf_dir).nodes.select("id", "type", "value"), path)
     return spark.createDataFrame([(c,) for c in io.header(spark, path)], "name string")
 
 
 @register("s9_cve_document", O.doc("SELECT release, name, cwe_ids FROM doc"))
 def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "json")
+    path = scratch_path(spark, "json")
     entries = cve_entries(spark, sf_dir).groupBy("release").agg(F.collect_list(F.struct("name", "cwe_ids")).alias("c"))
     lines = entries.select(F.to_json(F.map_from_arrays(F.array("release"), F.array("c"))).alias("value"))
     lines.write.text(path)
@@ -266,12 +259,18 @@ def j2(g: Graph) -> DataFrame:
     return g.edges.join(g.nodes.select("node_id", "labels"), F.col("src") == F.col("node_id")).groupBy("labels", "label").agg(F.count("*").alias("n"))
 
 
-@on_graph("j3_one_hop_expansion", "SELECT edge_seq, src, dst, label FROM edges WHERE src IN (SELECT owner FROM strict) OR dst IN (SELECT owner FROM strict)")
+@on_graph("j3_one_hop_expansion", "SELECT edge_seq, src, dst, label FROM edges SEMI JOIN strict ON src = owner UNION SELECT edge_seq, src, dst, label FROM edges SEMI JOIN strict ON dst = owner")
 def j3(g: Graph) -> DataFrame:
     return paths.expanded(g.edges, attrs.having(g).select(F.col("owner").alias("node_id"))).select("edge_seq", "src", "dst", "label")
 
 
-@on_trade("j3_sequential_expansion")
+@on_trade("j3_sequential_expansion", "SELECT seq AS edge_seq, src::BIGINT AS src, dst::BIGINT AS dst FROM scan WHERE hit", """ord AS (SELECT src * 100 + dst AS seq, src, dst, row_number() OVER (ORDER BY src * 100 + dst) AS k FROM trade),
+scan AS (
+  SELECT 0::BIGINT AS k, NULL::INT AS seq, NULL::INT AS src, NULL::INT AS dst, [3] AS live, false AS hit
+  UNION ALL
+  SELECT o.k, o.seq, o.src, o.dst, CASE WHEN list_contains(live, o.src) OR list_contains(live, o.dst) THEN list_distinct(list_concat(live, [o.src, o.dst])) ELSE live END,
+    list_contains(live, o.src) OR list_contains(live, o.dst) FROM scan s JOIN ord o ON o.k = s.k + 1
+)""")
 def j3s(t: DataFrame) -> DataFrame:
     e = t.withColumn("edge_seq", F.col("src") * 100 + F.col("dst")).select("edge_seq", "src", "dst")
     return paths.expanded(e.withColumns({"src": F.col("src").cast("bigint"), "dst": F.col("dst").cast("bigint")}), e.sparkSession.createDataFrame([(3,)], "node_id bigint"), "sequential")
@@ -566,6 +565,16 @@ def t1(g: Graph) -> DataFrame:
     return degree.total(g).orderBy(F.desc("degree"), "node_seq").limit(10).select("node_id", "degree")
 
 
+@on_doc("t4_ascending", "SELECT name, count(*) AS n, row_number() OVER (ORDER BY count(*), name) AS place FROM doc GROUP BY name ORDER BY n, name LIMIT 50")
+def t4(d: DataFrame) -> DataFrame:
+    return similarity.ascending(d.groupBy("name").agg(F.count("*").alias("n")), "n", "name", 50)
+
+
+@on_doc("t6_sorted_names", "SELECT release, array_to_string(list_sort(list(DISTINCT name)), ' ') AS names FROM doc GROUP BY release")
+def t6(d: DataFrame) -> DataFrame:
+    return similarity.lists(d.select(F.col("release").alias("key"), F.col("name").alias("member")).distinct()).select(F.col("key").alias("release"), F.array_join("members", " ").alias("names"))
+
+
 @on_graph("t7_release_order", "SELECT artifact, release, row_number() OVER (PARTITION BY artifact ORDER BY lo, node_seq) AS place FROM rng JOIN nodes ON node_id = release")
 def t7(g: Graph) -> DataFrame:
     x = dependencies.ranges(g).join(g.nodes.select("node_id", "node_seq"), F.col("release") == F.col("node_id"))
@@ -577,11 +586,9 @@ def u1(g: Graph) -> DataFrame:
     return g.label(NEEDS).select("src", "dst").unionByName(g.label(OWNS).select("src", "dst")).distinct()
 
 
-@on_doc("u2_set_sizes", "SELECT a, b, len(list_intersect(x, y)) AS both, len(list_distinct(list_concat(x, y))) AS either FROM (SELECT p.name AS a, q.name AS b, p.l AS x, q.l AS y FROM nm p JOIN nm q ON p.name < q.name)", "nm AS (SELECT name, list_distinct(list(cwe)) AS l FROM cwe WHERE name IN ('CVE-1', 'CVE-2', 'CVE-3', 'CVE-4') GROUP BY name)")
+@on_doc("u2_set_sizes", "SELECT a, b, c AS both, p.n + q.n - c AS either FROM bo JOIN sz p ON a = p.key JOIN sz q ON b = q.key", SIMS)
 def u2(d: DataFrame) -> DataFrame:
-    one = similarity.cwe_cves(d).where(F.col("member").isin("CVE-1", "CVE-2", "CVE-3", "CVE-4")).groupBy("member").agg(F.collect_set("key").alias("l"))
-    x, y = one.select(F.col("member").alias("a"), F.col("l").alias("x")), one.select(F.col("member").alias("b"), F.col("l").alias("y"))
-    return x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("both"), F.size(F.array_union("x", "y")).cast("bigint").alias("either"))  # four rows
+    return similarity.set_sizes(similarity.cwe_packs(d)).select("a", "b", "both", (F.col("na") + F.col("nb") - F.col("both")).alias("either"))
 
 
 @on_graph("u3_key_union", "SELECT src AS node FROM edges WHERE label = 'dependency' UNION SELECT dst FROM edges WHERE label = 'dependency'")
@@ -664,7 +671,17 @@ def f18(s: DataFrame) -> DataFrame:
 # ---- graph algorithms
 
 
-@on_trade("g1_betweenness")
+#: Distances and numbers of shortest paths between all nodes of a small graph.
+COUNTED = """far AS (SELECT src AS s, dst AS t, 1 AS d FROM trade UNION SELECT f.s, e.dst, f.d + 1 FROM far f JOIN trade e ON e.src = f.t WHERE f.s <> e.dst AND f.d < 24),
+dist AS (SELECT s, t, min(d) AS d FROM far GROUP BY s, t),
+ways AS (
+  SELECT src AS s, dst AS t, 1 AS d, 1::DOUBLE AS c FROM trade
+  UNION ALL
+  SELECT w.s, e.dst, w.d + 1, sum(w.c) FROM ways w JOIN trade e ON e.src = w.t JOIN dist x ON x.s = w.s AND x.t = e.dst AND x.d = w.d + 1 GROUP BY w.s, e.dst, w.d
+)"""
+
+
+@on_trade("g1_betweenness", "SELECT n_nationkey AS node_id, round(coalesce(b, 0) / (23 * 24), 6) AS centrality FROM nation LEFT JOIN (SELECT p.t AS v, sum(p.c * q.c / w.c) AS b FROM ways p JOIN ways q ON q.s = p.t JOIN ways w ON w.s = p.s AND w.t = q.t AND w.d = p.d + q.d GROUP BY p.t) ON v = n_nationkey", COUNTED)
 def g1(t: DataFrame) -> DataFrame:
     nodes = t.sparkSession.range(25).select(F.col("id").cast("int").alias("node_id"))
     return centrality.betweenness(t, nodes).select("node_id", F.round("centrality", 6).alias("centrality"))
@@ -682,10 +699,15 @@ def g2(t: DataFrame) -> DataFrame:
     return paths.shortest_paths(t, 3).select("node", "distance", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
 
 
-@on_trade("g3_eigenvector")
+@on_trade("g3_eigenvector", "SELECT node AS node_id, round(x, 4) AS centrality FROM it WHERE k = 400", """ent AS (SELECT src, dst, cents / 1e9 AS w FROM trade UNION ALL SELECT n_nationkey, n_nationkey, 1.0 FROM nation),
+it AS (
+  SELECT 0 AS k, n_nationkey AS node, 0.2::DOUBLE AS x FROM nation
+  UNION ALL
+  SELECT k + 1, node, y / sqrt(sum(y * y) OVER ()) FROM (SELECT it.k, e.dst AS node, sum(e.w * it.x) AS y FROM it JOIN ent e ON e.src = it.node WHERE it.k < 400 GROUP BY it.k, e.dst)
+)""")
 def g3(t: DataFrame) -> DataFrame:
     nodes = t.sparkSession.range(25).select(F.col("id").cast("int").alias("node_id"))
-    return centrality.eigenvector(t.select("src", "dst", (F.col("cents") / 1e9).alias("weight")), nodes).select("node_id", F.round("centrality", 4).alias("centrality"))
+    return centrality.eigenvector(t.select("src", "dst", (F.col("cents") / 1e9).alias("weight")), nodes, tol=1e-10).select("node_id", F.round("centrality", 4).alias("centrality"))
 
 
 @on_graph("g4_release_graph_sizes", f"SELECT count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM ({J5})")
@@ -693,28 +715,29 @@ def g4(g: Graph) -> DataFrame:
     return dependencies.release_graph(g).agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
-SMALL_TRADE = "sm AS (SELECT src, dst FROM trade WHERE src < 7 AND dst < 7)"
-ALL_PATHS = SMALL_TRADE + """, sp AS (
+@on_trade("g6_distances", "SELECT s AS src, t AS dst, d::INT AS distance FROM dist", COUNTED.split("ways AS")[0].rstrip(",\n"))
+def g6(t: DataFrame) -> DataFrame:
+    return paths.distances(t)
+
+
+#: The trade between regions, which has so few nodes that all simple paths can be listed.
+ALL_PATHS = """rp AS (SELECT a.n_regionkey AS src, b.n_regionkey AS dst, sum(cents) AS cents FROM pr JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst GROUP BY ALL),
+sm AS (SELECT src, dst FROM rp WHERE cents > (SELECT sum(cents) / count(*) FROM rp) AND src <> dst), sp AS (
   SELECT [src, dst] AS path FROM sm
   UNION ALL
   SELECT list_append(p.path, s.dst) FROM sp p JOIN sm s ON s.src = p.path[-1] WHERE NOT list_contains(p.path, s.dst)
 )"""
 
 
-@on_trade("g6_distances", "SELECT path[1] AS src, path[-1] AS dst, (min(len(path)) - 1)::INT AS distance FROM sp GROUP BY 1, 2", ALL_PATHS)
-def g6(t: DataFrame) -> DataFrame:
-    return paths.distances(t.where("src < 7 and dst < 7"))
-
-
-@on_trade("g7_simple_paths", "SELECT array_to_string(path, ' ') AS path FROM sp", ALL_PATHS)
+@register("g7_simple_paths", O.trade("SELECT array_to_string(path, ' ') AS path FROM sp", ALL_PATHS), region_graph)
 def g7(t: DataFrame) -> DataFrame:
-    return paths.simple_paths(t.where("src < 7 and dst < 7")).select(F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
+    return paths.simple_paths(t).select(F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
 
 
-@on_trade("p9_busy_paths", "SELECT array_to_string(path, ' ') AS path, len(list_filter(path[2:-2], lambda x: x % 2 = 0)) AS marked FROM sp WHERE marked >= 2", ALL_PATHS)
-def p9(t: DataFrame) -> DataFrame:
-    marked = t.sparkSession.range(0, 7, 2).select(F.col("id").cast("int").alias("owner"))
-    found = paths.busy_paths(paths.simple_paths(t.where("src < 7 and dst < 7")), marked, 2)
+@register("p9_busy_paths", O.trade("SELECT array_to_string(path, ' ') AS path, len(list_intersect(path[2:-2], l)) AS marked FROM sp, (SELECT list(k) AS l FROM (SELECT n_regionkey AS k FROM nation GROUP BY k HAVING count(*) >= 5)) WHERE marked >= 1", ALL_PATHS))
+def p9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("owner")).agg(F.count("*").alias("n")).where("n >= 5")
+    found = paths.busy_paths(paths.simple_paths(region_graph(spark, sf_dir)), marked, 1)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"), F.col("marked").cast("bigint").alias("marked"))
 
 
@@ -816,6 +839,54 @@ def d2(g: Graph) -> DataFrame:
     return drivers.dependency_graph(g)
 
 
-@on_doc("d_similarity_driver")
+def _similar(index: str, keys: str) -> str:
+    return f"""SELECT '{index}' AS index, t / 10.0::DOUBLE AS threshold, (SELECT count(*) FROM ({SIMILAR.format(keys=keys)}) WHERE sim > t / 10.0::DOUBLE) AS above,
+  (SELECT count(DISTINCT key) * (count(DISTINCT key) - 1) // 2 FROM ({keys})) AS total FROM range(1, 10) r(t)"""
+
+
+SIMILAR = "WITH ks AS ({keys}), sz AS (SELECT key, count(*) AS n FROM ks GROUP BY key) SELECT c::DOUBLE / (p.n + q.n - c) AS sim FROM (SELECT x.key AS a, y.key AS b, count(*) AS c FROM ks x JOIN ks y USING (member) WHERE x.key < y.key GROUP BY ALL) JOIN sz p ON a = p.key JOIN sz q ON b = q.key"
+INDEXES = {"cve-pack": "SELECT DISTINCT name AS key, release AS member FROM doc", "cwe-pack": "SELECT DISTINCT cwe AS key, release AS member FROM cwe", "cwe-cve": "SELECT DISTINCT cwe AS key, name AS member FROM cwe"}
+
+
+@on_doc("d_similarity_driver", " UNION ALL ".join(_similar(k, v) for k, v in INDEXES.items()))
 def d3(d: DataFrame) -> DataFrame:
     return drivers.similarity_report(d)
+
+
+def _top(view: str, score: str, name: str) -> str:
+    return f"(SELECT '{name}' AS report, row_number() OVER (ORDER BY {score} DESC, node_seq)::INT AS rank, n.node_id, {score} AS score FROM ({view}) v JOIN nodes n ON n.node_id = v.node_id ORDER BY {score} DESC, node_seq LIMIT 10)"
+
+
+DEGREE_SQL = f"WITH {O.GRAPH}, {TOP_DEG} " + " UNION ALL ".join([
+    "(SELECT 'degree' AS report, row_number() OVER (ORDER BY degree DESC, node_seq)::INT AS rank, node_id, degree AS score FROM tot ORDER BY degree DESC, node_seq LIMIT 10)",
+    _top(_vulnerable("strict"), "releases", "vulnerable_releases"),
+    _top("SELECT s.owner AS node_id, count(d.artifact) AS dependencies FROM strict s LEFT JOIN dep d ON d.src = s.owner GROUP BY s.owner", "dependencies", "dependencies"),
+])
+
+
+@register("d_degree_driver", DEGREE_SQL, package_graph)
+def d4(g: Graph) -> DataFrame:
+    out = None
+    for name, top in drivers.degree_reports(g).items():
+        score = {"degree": "degree", "vulnerable_releases": "releases", "dependencies": "dependencies"}[name]
+        one = top.select(F.lit(name).alias("report"), F.col("rank").cast("int").alias("rank"), "node_id", F.col(score).cast("bigint").alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@on_graph("d_centrality_driver")
+def d5(g: Graph) -> DataFrame:
+    return drivers.centrality_report(g)
+
+
+@on_graph("d_betweenness_driver")
+def d6(g: Graph) -> DataFrame:
+    return drivers.betweenness_report(g).select("rank", "node_id", F.round("centrality", 8).alias("centrality"))
+
+
+@on_graph("d_causal_driver")
+def d7(g: Graph) -> DataFrame:
+    """The skeleton's edges with its score, its number of simple paths and the longest of its shortest paths."""
+    found = drivers.causal_report(g)
+    rows = [(x, y, round(found["bic"], 3), found["paths"].count(), found["longest"]) for x, y in found["edges"]]
+    return g.nodes.sparkSession.createDataFrame(rows, "src string, dst string, bic double, paths long, longest int")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ADDED, ARTIFACT, HAS, NEEDS, OWNS, RELEASE, Graph
+from .graph import read_parquet, write_parquet
+from .scratch import kept
 
 SEVERITIES = ("CRITICAL", "HIGH", "MODERATE", "LOW", "WEIRD")
 
@@ -55,6 +57,12 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def package_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph, made once and then read from its written form."""
+    path = kept(spark, "package-graph", [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "part")], lambda to: write_parquet(make_package_graph(spark, sf_dir), to))
+    return read_parquet(spark, path)
+
+
+def make_package_graph(spark: SparkSession, sf_dir: str) -> Graph:
     rel, none = releases(spark, sf_dir), F.lit(None).cast("string")
     added = attributes(spark, sf_dir)
     value_id = F.concat("owner", F.lit(":v"), F.col("k").cast("string"))
@@ -71,8 +79,16 @@ def package_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(artifacts.unionByName(released).unionByName(values), edges)
 
 
+def _made(spark: SparkSession, sf_dir: str, name: str, tables: list[str], make) -> DataFrame:
+    return spark.read.parquet(kept(spark, name, [f"{sf_dir}/{t}.parquet" for t in tables], lambda to: make(spark, sf_dir).write.parquet(to)))
+
+
 def cve_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(release, name, cwe_ids): a vulnerability document's rows, from returned lines; some names are UNKNOWN."""
+    return _made(spark, sf_dir, "cve-entries", ["lineitem", "orders"], make_cve_entries)
+
+
+def make_cve_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").join(releases(spark, sf_dir).select("o", "owner"), F.col("l_orderkey") == F.col("o"))
     name = F.when(F.col("l_suppkey") % 50 == 0, "UNKNOWN").otherwise(_id("CVE-", "l_suppkey"))
     cwe = F.when(F.col("l_suppkey") % 50 == 0, "UNKNOWN").otherwise(F.concat(F.lit("[CWE-"), (F.col("l_linenumber") + F.col("l_suppkey") % 5).cast("string"), F.lit(",CWE-"), (F.col("l_suppkey") % 7 + 20).cast("string"), F.lit("]")))
@@ -80,9 +96,25 @@ def cve_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, revenue of nations whose trade is above the mean: a small digraph with at most a node for each nation."""
+    """src, dst, cents of nations whose trade is above the mean: a small digraph with at most a node for each nation."""
+    return _above_mean(_made(spark, sf_dir, "trade", ["lineitem", "orders", "customer", "supplier"], make_trade))
+
+
+def region_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same between the nations' regions."""
+    n = table(spark, sf_dir, "nation")
+    of = lambda c: n.select(F.col("n_nationkey").alias(c), F.col("n_regionkey").alias(f"{c}_region"))
+    t = _made(spark, sf_dir, "trade", ["lineitem", "orders", "customer", "supplier"], make_trade)
+    return _above_mean(t.join(of("src"), "src").join(of("dst"), "dst").groupBy(F.col("src_region").alias("src"), F.col("dst_region").alias("dst")).agg(F.sum("cents").alias("cents")))
+
+
+def make_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, cents of each two nations with trade."""
     t = lambda n: table(spark, sf_dir, n)
     sold = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    pairs = sold.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
+    return sold.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
+
+
+def _above_mean(pairs: DataFrame) -> DataFrame:
     mean = pairs.agg((F.sum("cents") / F.count("*")).alias("mean"))
     return pairs.crossJoin(F.broadcast(mean)).where("cents > mean AND src <> dst").select("src", "dst", "cents")
