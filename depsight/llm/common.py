@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,30 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed, scratch_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only if none is configured."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = sc.getCheckpointDir()
-        if configured is None:
-            configured = tempfile.mkdtemp(prefix="depsight-")
-            sc.setCheckpointDir(configured)
-        return configured
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured)
-    return configured
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the lineage ends in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+cut = checkpointed
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -107,9 +85,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         e = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = cut(e.groupBy("u").agg(F.min("v").alias("m")))
+        low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = cut(e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:

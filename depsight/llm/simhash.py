@@ -60,26 +60,29 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def bit_moments(fps: DataFrame, column: str) -> tuple[int, np.ndarray]:
-    """Number of fingerprints and the 64x64 counts of bits set together, over all of them."""
+def bit_moments(fps: DataFrame, *columns: str) -> list[tuple[int, np.ndarray]]:
+    """For each column: number of fingerprints and the 64x64 counts of bits set together, over all of them."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, both = 0, np.zeros((BITS, BITS), np.int64)
+        n, both = 0, np.zeros((len(columns), BITS, BITS), np.int64)
         for b in batches(it, 8192):
-            x = np.unpackbits(b.column(column).to_numpy().astype(">i8").view(np.uint8)).reshape(-1, BITS)[:, ::-1].astype(np.float32)
-            n, both = n + len(x), both + (x.T @ x).astype(np.int64)
+            n += b.num_rows
+            for k, c in enumerate(columns):
+                x = np.unpackbits(b.column(c).to_numpy().astype(">i8").view(np.uint8)).reshape(-1, BITS)[:, ::-1].astype(np.float32)
+                both[k] += (x.T @ x).astype(np.int64)
         if n:
             i, j = np.triu_indices(BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(i * BITS + j, -1)), pa.array(np.append(both[i, j], n))], ["ij", "n"])
+            for k in range(len(columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i) + 1, k, np.int32)), pa.array(np.append(i * BITS + j, -1)), pa.array(np.append(both[k, i, j], n))], ["k", "ij", "n"])
 
-    rows = fps.select(column).mapInArrow(run, "ij long, n long").groupBy("ij").agg(F.sum("n").alias("n")).collect()  # at most 2081
-    both, n = np.zeros((BITS, BITS)), 0
-    for ij, c in rows:
+    rows = fps.select(*columns).mapInArrow(run, "k int, ij long, n long").groupBy("k", "ij").agg(F.sum("n").alias("n")).collect()  # at most 2081 for each column
+    both, n = np.zeros((len(columns), BITS, BITS)), 0
+    for k, ij, c in rows:
         if ij < 0:
             n = c
         else:
-            both[ij // BITS, ij % BITS] = both[ij % BITS, ij // BITS] = c
-    return n, both
+            both[k, ij // BITS, ij % BITS] = both[k, ij % BITS, ij // BITS] = c
+    return [(n, x) for x in both]
 
 
 def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -155,9 +158,14 @@ def masks(plan: list[tuple[list[int], int]]) -> list[int]:
     return out
 
 
+def keys_of(column: str, plan: list[tuple[list[int], int]], salt: int = 0) -> list[Column]:
+    """The keys of a fingerprint: it shares one with any that is within the plan's radius."""
+    return [F.xxhash64(F.col(column).bitwiseAND(F.lit(m)), F.lit(salt), F.lit(i)) for i, m in enumerate(masks(plan))]
+
+
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bits that differ, over the words of each row."""
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
+    """Bits that differ."""
+    return np.bitwise_count(x ^ y)
 
 
 def forest(fp: np.ndarray, rep: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -175,21 +183,21 @@ def forest(fp: np.ndarray, rep: np.ndarray, radius: int) -> list[tuple[np.ndarra
     return edges
 
 
-def links(reps: DataFrame, columns: list[str], keys: list[Column], radius: int) -> DataFrame:
-    """(u, v): edges that connect the candidates within the radius. reps: rep and the fingerprint's words, distinct; candidates share a key."""
-    keyed = reps.select("rep", *columns, F.explode(F.array(*keys)).alias("key"))
+def links(keyed: DataFrame, radius: int) -> DataFrame:
+    """(u, v): edges that connect the candidates within the radius. keyed: rep, fp (a fingerprint of it) and key; those
+    that share a key are candidates."""
     counts = spool(keyed.groupBy("key").count().where("count > 1"))
     cells = F.ceil(F.col("count") / CELL).cast("int")
     salted = (
         keyed.join(counts, "key")
-        .select("rep", *columns, "key", cells.alias("g"), F.pmod(F.xxhash64(*columns), cells).cast("int").alias("s"))
-        .select("rep", *columns, "key", F.explode(F.expr("transform(sequence(0, g - 1), t -> named_struct('a', least(s, t), 'b', greatest(s, t)))")).alias("c"))
-        .select("rep", *columns, F.xxhash64("key", "c.a", "c.b").alias("cell"))
+        .select("rep", "fp", "key", cells.alias("g"), F.pmod(F.xxhash64("fp"), cells).cast("int").alias("s"))
+        .select("rep", "fp", "key", F.explode(F.expr("transform(sequence(0, g - 1), t -> named_struct('a', least(s, t), 'b', greatest(s, t)))")).alias("c"))
+        .select("rep", "fp", F.xxhash64("key", "c.a", "c.b").alias("cell"))
     )
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in sorted_runs(it, "cell"):
-            cell, rep, fp = c["cell"], c["rep"], np.stack([c[n].view(np.uint64) for n in columns], axis=1)
+            cell, rep, fp = c["cell"], c["rep"], c["fp"].view(np.uint64)
             starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
             sizes = np.diff(np.append(starts, len(cell)))
             out = []
@@ -214,11 +222,10 @@ def components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """
     prints = cut(fingerprints(docs, width))
     reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    plan = allocate(*bit_moments(reps, "fp"), radius)
+    plan = allocate(*bit_moments(reps, "fp")[0], radius)
     least = reps.select("fp", F.col("rep").alias("component_id"))
     if plan:
-        keys = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(masks(plan))]
-        found = spool(connected_components(links(reps.select(F.col("fp").alias("rep"), "fp"), ["fp"], keys, radius)))
+        found = spool(connected_components(links(reps.select(F.col("fp").alias("rep"), "fp", F.explode(F.array(*keys_of("fp", plan))).alias("key")), radius)))
         known = reps.join(found, reps["fp"] == found["node"])
         lowest = known.groupBy("component").agg(F.min("rep").alias("lowest"))
         linked = known.join(lowest, "component").select(F.col("node"), "lowest")
@@ -227,8 +234,8 @@ def components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-duplicate stage: words of a wide fingerprint, partitions of each, words in a shingle, similarity, chance to find a pair at it.
-WORDS, PARTS, WIDTH, SIMILAR, FOUND = 8, 4, 5, 0.8, 0.92
+#: Near-duplicate stage: words of a wide fingerprint, bits apart in any one of them, words in a shingle, similarity, rows of a split key.
+WORDS, NEAR, WIDTH, SIMILAR, MEET = 8, 3, 5, 0.8, 4096
 
 
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
@@ -252,119 +259,108 @@ def wide_print(h: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.packbits(2 * total > len(h)).view(np.uint64)
 
 
-def wide_prints(docs: DataFrame, width: int = WIDTH, words: int = WORDS) -> DataFrame:
-    """doc_id, the text's shingles (as bytes), their hash sid, and the words of the fingerprint."""
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc, th and text of each row: its id (NO_ID if null), its text's hash and its text."""
+    return id_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), "text")
+
+
+def wide_prints(texts: DataFrame, width: int = WIDTH, words: int = WORDS) -> DataFrame:
+    """doc, th, the hash sid of the text's set of shingles, and the words of the fingerprint."""
     names = [f"p{k}" for k in range(words)]
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
+        for b in batches(it, 256):
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             x = np.stack([wide_print(h, words) for h in sets]).view(np.int64)
-            raw = [h.tobytes() for h in sets]
-            sid = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sid), pa.array(raw, pa.binary()), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(words))], ["doc_id", "sid", "shingles", *names])
-
-    return id_text(docs).mapInArrow(run, "doc_id long, sid long, shingles binary, " + ", ".join(f"{n} long" for n in names))
-
-
-def most_apart(similar: float, bits: int, spare: float = 0.8) -> int:
-    """Bits in which texts of this Jaccard similarity differ, and spare standard deviations more."""
-    p = math.acos(2 * similar / (1 + similar)) / math.pi
-    return int(bits * p + spare * math.sqrt(bits * p * (1 - p)))
-
-
-def probes(n: int, moments: list[np.ndarray], similar: float = SIMILAR, found: float = FOUND) -> list[list[tuple[int, list[int]]]]:
-    """Keys as lists of (word, bits). Each word's bits are dealt into PARTS correlated partitions, each a key: by the
-    pigeonhole, they find all pairs within PARTS - 1 bits in any word. Where there are so many fingerprints that a key
-    would be shared by many, keys take bits of the next partition along, and there are as many more of them as keep
-    the chance to find a pair at the similarity."""
-    each = [(w, g) for w, both in enumerate(moments) for g in group_bits(n, both, PARTS)]
-    size = len(each[0][1])
-    more = max(0, math.ceil(math.log2(max(n, 1)) - size - 2))
-    p = 1 - math.acos(2 * similar / (1 + similar)) / math.pi
-    wanted = max(len(each), math.ceil(math.log(1 - found) / math.log(1 - p ** (size + more)))) if more else len(each)
-    rng, out = np.random.default_rng(SEED), []
-    for k in range(wanted):
-        w, g = each[k % len(each)]
-        key = [(w, g)]
-        if more:
-            v, other = each[(k % len(each) + 1 + int(rng.integers(len(each) - 1))) % len(each)]
-            key.append((v, sorted(rng.choice(other, min(more, len(other)), replace=False).tolist())))
-        out.append(key)
-    return out
+            sid = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), pa.array(sid), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(words))], ["doc", "th", "sid", *names])
 
+    return texts.mapInArrow(run, "doc long, th long, sid long, " + ", ".join(f"{n} long" for n in names))
 
-def _mask(bits: list[int]) -> int:
-    m = sum(1 << b for b in bits)
-    return m - (1 << BITS) if m >= 1 << (BITS - 1) else m
 
-
-def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs (u, v) of sids whose sets have this Jaccard similarity or more."""
+def verified(pairs: DataFrame, holders: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
+    """The pairs (u, v) of sids whose sets have this Jaccard similarity or more. Texts are moved, which take less room
+    than their sets of shingles, and only those of the pairs; holders: sid, and the doc and th of a row that has it."""
     share = Fraction(str(similar))
     num, den = share.numerator, share.denominator
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
+        for b in batches(it, 256):
             like = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = shingle_set(x, width), shingle_set(y, width)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 like.append(den * both >= num * (len(x) + len(y) - both))
             yield b.select(["u", "v"]).filter(pa.array(like, pa.bool_()))
 
-    wanted = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct()
-    sets = sets.join(F.broadcast(wanted), "sid", "left_semi")  # sids alone are sent, so that other sets are not shuffled
-    one, other = sets.select(F.col("sid").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("v"), F.col("shingles").alias("y"))
-    return pairs.join(one, "u").join(other, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    wanted = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct().join(holders, "sid")
+    asked = spool(texts.join(wanted, ["doc", "th"]).select("sid", "text").dropDuplicates(["sid"]))
+    one, other = asked.select(F.col("sid").alias("u"), F.col("text").alias("x")), asked.select(F.col("sid").alias("v"), F.col("text").alias("y"))
+    out = spool(pairs.join(one, "u").join(other, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long"))
+    free(asked)
+    return out
 
 
-def common_shingles(sets: DataFrame, sample: int = 8192, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the sets shares, sorted, and how often it has them."""
+def common_shingles(texts: DataFrame, rows: int, width: int, sample: int = 8192, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts shares, sorted, and about how many texts have them. Only the order of
+    shingles and the split of keys hang on it, and neither changes a result."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("shingles").to_pylist()), np.int64))], ["key"])
+        for b in batches(it, 256):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, width) for t in b.column("text").to_pylist()]).view(np.int64))], ["key"])
 
-    one_in = max(1, sets.count() // sample)
-    few = sets.where(F.pmod(F.xxhash64("sid"), F.lit(one_in)) == 0).select("shingles")
-    rows = few.mapInArrow(run, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(most).collect()
-    keys, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    one_in = max(1, rows // sample)
+    few = texts.where(F.pmod(F.xxhash64("th", "doc"), F.lit(one_in)) == 0).select("text")
+    found = few.mapInArrow(run, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(most).collect()
+    keys, n = np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
     order = np.argsort(keys)
-    return keys[order], n[order]
+    return keys[order], n[order] * one_in
 
 
-def sharing(sets: DataFrame, similar: float) -> DataFrame:
+def sharing(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, similar: float) -> DataFrame:
     """(u, v): pairs of sids of different components, among them all whose sets have this Jaccard similarity or more.
 
-    sets: sid, component, shingles. Prefix filter: with the shingles of all sets in one order, two such sets share one
-    of their first n - ceil(similar * n) + 1, and from their first common one on have enough left. Any order is exact;
-    common shingles come last, so that few sets meet.
+    sets: sid, component, text; a row for each sid. Prefix filter: with the shingles of all sets in one order, two such
+    sets share one of their first n - ceil(similar * n) + 1, and from their first common one on have enough left. Any
+    order is exact; common shingles come last, so that few sets meet. Rows of a key that is common all the same are
+    dealt into salts of about MEET rows, and each two salts meet.
     """
     share = Fraction(str(similar))
     num, den = share.numerator, share.denominator
-    common = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
+    sent = sets.sparkSession.sparkContext.broadcast(common)  # its size is bounded
 
     def first(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = common.value
-        for b in batches(it):
-            keys = []
-            for raw in b.column("shingles").to_pylist():
-                h = np.frombuffer(raw, np.uint64)
+        known, often = sent.value
+        for b in batches(it, 256):
+            keys, whole, sids, comps = [], [], [], []
+            for text, sid, comp in zip(b.column("text").to_pylist(), b.column("sid").to_pylist(), b.column("component").to_pylist()):
+                h, salts = shingle_set(text, width), None
+                n = len(h)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))]
-                keys.append(h[: len(h) + -num * len(h) // den + 1] if len(h) else h)
-            each = np.array([len(k) for k in keys])
-            n = np.array([len(raw) // 8 for raw in b.column("shingles").to_pylist()], np.int32)
-            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in each])
-            columns = [np.concatenate(keys).view(np.int64), *(np.repeat(b.column(c).to_numpy(), each) for c in ("sid", "component")), np.repeat(n, each), pos]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "sid", "component", "n", "pos"])
+                    times = np.where(known[at] == h, often[at], 0)
+                    order = np.lexsort((h, times))
+                    h, salts = h[order], -(-times[order] // MEET)
+                k = n - -(-num * n // den) + 1 if n else 0
+                key, left = h[:k].view(np.int64), n - np.arange(k)
+                if salts is not None and (salts[:k] > 1).any():
+                    own, g = sid & 0x7FFFFFFF, np.maximum(salts[:k], 1)
+                    row = np.repeat(np.arange(k), g)
+                    t = np.arange(len(row)) - np.repeat(np.cumsum(g) - g, g)
+                    s = own % g[row]
+                    cell = (np.minimum(s, t) * np.int64(1_000_003) + np.maximum(s, t)).astype(np.uint64)
+                    with np.errstate(over="ignore"):
+                        cell *= np.uint64(0x9E3779B97F4A7C15)
+                    key, left = np.where(g[row] > 1, key[row] ^ cell.view(np.int64), key[row]), left[row]
+                keys.append(key)
+                whole.append(np.minimum(n, 0x7FFFFFFF) << 32 | np.minimum(left, 0x7FFFFFFF))
+                sids.append(np.full(len(key), sid))
+                comps.append(np.full(len(key), comp))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sids, comps, whole)], ["key", "sid", "component", "sizes"])
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in sorted_runs(it, "key"):
-            key, sid, comp, n = c["key"], c["sid"], c["component"], c["n"].astype(np.int64)
-            left = n - c["pos"]
+            key, sid, comp, n, left = c["key"], c["sid"], c["component"], c["sizes"] >> 32, c["sizes"] & 0x7FFFFFFF
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(starts, len(key)))
             out, small = [], np.repeat(sizes <= 8, sizes)
@@ -386,56 +382,55 @@ def sharing(sets: DataFrame, similar: float) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], ["u", "v"])
 
-    rows = sets.select("sid", "component", "shingles").mapInArrow(first, "key long, sid long, component long, n int, pos int")
+    rows = sets.mapInArrow(first, "key long, sid long, component long, sizes long")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, component_id of near-duplicates: links are the pairs of texts whose sets of shingles (by their 64-bit
-    hashes) have this Jaccard similarity or more, all of them and no others.
+    """doc, th (as in keyed_texts), sid and component of each row: near-duplicates are linked by the pairs of texts whose
+    sets of shingles (by their 64-bit hashes) have this Jaccard similarity or more, all of them and no others.
 
-    SimHash proposes pairs first, which connects most of a large group at little cost; a prefix filter then finds
-    every pair that is not connected yet. Both kinds are linked only if their exact similarity suffices.
+    SimHash proposes pairs first, which connects most of a large group at little cost: those within NEAR bits in any of
+    WORDS fingerprints, all of which the pigeonhole plan of each word finds. A prefix filter then finds every pair
+    that is not connected yet. Both kinds are linked only if their exact similarity suffices, so neither the plan nor
+    the size of the table has a say in the result.
     """
-    names = [f"p{k}" for k in range(WORDS)]
-    prints = wide_prints(docs, width)
-    # Sets take more room than texts: they are shuffled once, and the ids' pass makes them anew.
-    ids = spool(prints.select("doc_id", "sid"))
-    reps = spool(prints.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles"), *(F.first(c).alias(c) for c in names)).where("rep is not null"))
-    del prints
-
-    known = reps.select(F.col("sid").alias("rep"), *names)
-    moments = [bit_moments(known, c) for c in names]
-    plan = probes(moments[0][0], [m[1] for m in moments], similar)
-    keys = [F.xxhash64(F.lit(i), *(F.col(names[w]).bitwiseAND(F.lit(_mask(g))) for w, g in key)) for i, key in enumerate(plan)]
-    near = spool(links(known, names, keys, most_apart(similar, WORDS * BITS)).distinct())
-    del known, keys
+    texts, names = keyed_texts(docs), [f"p{k}" for k in range(WORDS)]
+    ids = spool(wide_prints(texts, width))
+    reps = spool(ids.groupBy("sid").agg(F.min(F.struct("doc", "th")).alias("one"), *(F.first(c).alias(c) for c in names)))
+    holders = reps.select("sid", "one.doc", "one.th")
+    plans = [allocate(n, both, NEAR) for n, both in bit_moments(reps, *names)]
+    keys = [F.struct(k.alias("key"), F.col(c).alias("fp")) for i, (c, plan) in enumerate(zip(names, plans)) for k in keys_of(c, plan, i)]
+    if not keys:
+        return ids.select("doc", "th", "sid", F.col("sid").alias("component"))
+    near = spool(links(reps.select(F.col("sid").alias("rep"), F.explode(F.array(*keys)).alias("k")).select("rep", "k.*"), NEAR).distinct())
     some = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.array(F.min("v"), F.max("v")).alias("vs"))
     some = some.select("u", F.explode("vs").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     some = spool(some)
     free(near)
-    sure = spool(verified(some, reps, similar))
+    sure = verified(some, holders, texts, width, similar)
     found = spool(connected_components(sure))
     free(some)
 
-    sets = reps.select("sid", "shingles").join(F.broadcast(found), reps["sid"] == found["node"], "left").select("sid", F.coalesce("component", "sid").alias("component"), "shingles")
-    more = spool(sharing(sets, similar))
+    of = holders.join(found, holders["sid"] == found["node"], "left").select("doc", "th", "sid", F.coalesce("component", "sid").alias("component"))
+    common = common_shingles(texts, ids.count(), width)
+    sets = texts.join(of, ["doc", "th"]).select("sid", "component", "text")
+    more = spool(sharing(sets, common, width, similar))
     del sets
     free(found)
-    rest = spool(verified(more, reps, similar))
-    # Rows of one doc_id are one document, so components are over ids.
-    of = reps.select("sid", "rep")
-    edges = sure.unionByName(rest).join(of.toDF("u", "a"), "u").join(of.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    last = connected_components(edges)
-    classes = spool(of.join(last, of["rep"] == last["node"], "left").select("sid", F.coalesce("component", "rep").alias("component_id")))
-    free(reps)
-    return ids.join(classes, "sid", "left").select("doc_id", "component_id")
+    rest = verified(more, holders, texts, width, similar)
+    last = spool(connected_components(sure.unionByName(rest)))
+    free(more, reps, sure, rest)
+    return ids.join(last, ids["sid"] == last["node"], "left").select("doc", "th", "sid", F.coalesce("component", "sid").alias("component"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
-    """The documents without near-duplicates of a smaller doc_id, all columns kept; rows of one doc_id are one document,
-    and rows of null doc_id stay unless a document with an id is like them."""
-    gone = spool(near_groups(docs, width, similar).where("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct())
-    if gone.where("doc_id is null").limit(1).count():
-        docs = docs.where("doc_id is not null")
-    return docs.join(gone.where("doc_id is not null"), "doc_id", "left_anti").select(*docs.columns)
+    """The documents without near-duplicates of a smaller doc_id, all columns kept. A row is judged by its own text:
+    another text under the same or no doc_id is another document. Of a group, the rows of its smallest doc_id (null
+    after all others) and of the least set of shingles under it stay, repeated rows together."""
+    groups = near_groups(docs, width, similar)
+    order = F.struct((F.col("doc") == NO_ID).alias("none"), "doc", "sid")
+    first = spool(groups.groupBy("component").agg(F.min(order).alias("first")))
+    gone = spool(groups.join(first, "component").where(order != F.col("first")).select("doc", "th").distinct())
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"))
+    return keyed.join(gone, ["doc", "th"], "left_anti").select("row.*")

@@ -47,8 +47,18 @@ def docs():
 
 @pytest.mark.parametrize("proposed", [True, False])
 def test_links_are_exactly_the_similar_pairs(spark, monkeypatch, proposed):
+    monkeypatch.setattr(S, "MEET", 4096 if proposed else 3)  # keys are split
     if not proposed:  # what SimHash misses is found all the same
         monkeypatch.setattr(S, "links", lambda reps, *_: reps.sparkSession.createDataFrame([], "u long, v long"))
     rows = docs()
-    got = {r["doc_id"]: r["component_id"] for r in S.near_groups(cases.frame(spark, rows)).collect()}
-    assert got == groups(rows)
+    of = [(r["doc"], r["component"]) for r in S.near_groups(cases.frame(spark, rows)).collect()]
+    least = {c: min(d for d, k in of if k == c) for _, c in of}
+    assert {d: least[c] for d, c in of} == groups(rows)
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    a, b, c, d = (cases.words(60, 900 + k) for k in range(4))
+    rows = [(1, a), (None, a), (None, b), (2, c), (3, a), (3, d), (None, b), (4, b + " tail"), (5, b), (2, c)]
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in S.one_of_each(cases.frame(spark, rows)).collect()))
+    assert kept == sorted([(1, a), (2, c), (2, c), (3, d), (4, b + " tail")])
+    assert [(r["doc_id"], r["text"]) for r in S.one_of_each(cases.frame(spark, [(None, a), (None, b)])).collect()].count((None, a)) == 1
