@@ -14,7 +14,7 @@ def words(n: int, seed: int) -> str:
 
 def texts() -> list[tuple[int | None, str | None]]:
     a = words(90, 1)
-    out = [(1, None), (2, ""), (3, " \n\t "), (4, a), (5, a), (5, a), (None, a), (None, None), (6, words(3000, 2)), (7, "one"), (8, "a▁b ☃ 日本\x00\n\n"), (9, "w " * 500)]
+    out = [(1, None), (2, ""), (3, " \n\t "), (4, a), (5, a), (5, a), (None, a), (None, None), (6, words(6000, 2)), (7, "one"), (8, "a▁b ☃ 日本\x00\n\n"), (9, "w " * 500)]
     return out + [(20 + k, words(30 + k, 100 + k)) for k in range(12)]
 
 

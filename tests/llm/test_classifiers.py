@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -84,3 +85,91 @@ def test_label_model_finds_rates_and_ties_copies():
     assert sorted(model.cliques) == [[0, 3], [1], [2]]
     model.fit(bits, counts.astype(float), start)
     assert abs(model.rates[1, 0] - 0.7) < 0.12 and abs(model.prior - 0.3) < 0.1
+
+
+def plain_em(bits, counts, post, rounds):
+    """The same model in plain loops, all voters independent."""
+    voters = len(bits[0])
+    for _ in range(rounds):
+        w1, w0 = [c * p for c, p in zip(counts, post)], [c * (1 - p) for c, p in zip(counts, post)]
+        prior = (sum(w1) + 1) / (sum(counts) + 2)
+        new = []
+        for row in bits:
+            odds = math.log(prior / (1 - prior))
+            for j in range(voters):
+                a = (sum(w for w, r in zip(w1, bits) if r[j] == row[j]) + 0.1) / (sum(w1) + 0.2)
+                b = (sum(w for w, r in zip(w0, bits) if r[j] == row[j]) + 0.1) / (sum(w0) + 0.2)
+                odds += math.log(a / b)
+            new.append(1 / (1 + math.exp(-odds)))
+        post = new
+    return post
+
+
+def test_em_equals_plain_loops():
+    r = np.random.default_rng(2)
+    bits, counts = np.unique(r.random((300, 4)) < np.where(r.random((300, 1)) < 0.4, 0.7, 0.1), axis=0, return_counts=True)
+    bits, start = bits.astype(float), np.where(bits.sum(1) > 0, 0.7, 0.05)
+    post = toxicity.LabelModel(4).fit(bits, counts.astype(float), start, rounds=7)
+    assert np.allclose(post, plain_em(bits.tolist(), counts.tolist(), start.tolist(), 7), atol=1e-9)
+
+
+def plain_sgd(rows, seed):
+    """The embeddings' training in plain loops."""
+    q = quality
+    rng = np.random.default_rng(seed)
+    made = []
+    for text, y in rows:
+        c, weights = q.counted(text), {}
+        for w, n in c.items():
+            own = q.features(w)
+            for i in own:
+                weights[i] = weights.get(i, 0.0) + n / sum(c.values()) / len(own)
+        made.append((weights, y))
+    vectors = rng.uniform(-1 / q.DIM, 1 / q.DIM, (q.BUCKETS, q.DIM)).astype(np.float32).astype(float)
+    out, bias, done = [[0.0, 0.0] for _ in range(q.DIM)], [0.0, 0.0], 0
+    for _ in range(q.EPOCHS):
+        for k in rng.permutation(len(made)):
+            weights, y = made[k]
+            rate = q.RATE * (1 - done / (q.EPOCHS * len(made)))
+            done += 1
+            hidden = [sum(w * vectors[i][d] for i, w in weights.items()) for d in range(q.DIM)]
+            logit = [sum(hidden[d] * out[d][c] for d in range(q.DIM)) + bias[c] for c in (0, 1)]
+            top = [math.exp(x - max(logit)) for x in logit]
+            err = [t / sum(top) - g for t, g in zip(top, (1 - y, y))]
+            back = [sum(out[d][c] * err[c] for c in (0, 1)) for d in range(q.DIM)]
+            for d in range(q.DIM):
+                for c in (0, 1):
+                    out[d][c] -= 0.1 * rate * hidden[d] * err[c]
+            bias = [b - 0.01 * rate * e for b, e in zip(bias, err)]
+            norm = max(sum(w * w for w in weights.values()), 1e-3)
+            for i, w in weights.items():
+                for d in range(q.DIM):
+                    vectors[i][d] -= rate * w / norm * 0.1 * back[d]
+    table = [sum(v[d] * (out[d][1] - out[d][0]) for d in range(q.DIM)) for v in vectors]
+    return table, bias[1] - bias[0]
+
+
+def test_sgd_equals_plain_loops(monkeypatch):
+    for name, v in (("BUCKETS", 64), ("DIM", 3), ("EPOCHS", 2)):
+        monkeypatch.setattr(quality, name, v)
+    rows = [(t, float(q)) for (_, t), (_, q, _) in zip(*corpus(40))]
+    model = quality.Subwords.learn(rows, seed=3)
+    table, bias = plain_sgd(rows, 3)
+    assert np.allclose(model.table, table, atol=2e-4) and abs(model.bias - bias) < 2e-4
+    score = model.scorer()
+    for text, _ in rows[:5]:
+        words = text.split()
+        again = sum(a == b for a, b in zip(words, words[1:]))
+        each = [sum(table[i] for i in quality.features(w)) / len(quality.features(w)) for w in words]
+        z = (sum(each) + again * table[0]) / (len(words) + again) + bias
+        assert abs(score(text) - 1 / (1 + math.exp(-z))) < 1e-3
+
+
+def test_linear_equals_its_weights():
+    rows, labels = corpus(200)
+    known = [(t, float(x)) for (_, t), (_, _, x) in zip(rows, labels)]
+    model = toxicity.Linear.learn(known)
+    score = model.scorer()
+    for text, _ in known[:20]:
+        z = model.bias + sum(model.weights.get(k, 0.0) * (1 + math.log(n)) for k, n in toxicity.keys(text).items())
+        assert abs(score(text) - 1 / (1 + math.exp(-z))) < 1e-9
