@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns: word lists and word beginnings that mark toxic text in a bounded labelled sample,
-dealt over several voters, a fixed list of insults, and shares of marked words. The votes of every document of the
+Voters are lexicons and patterns: word lists that mark toxic text in either half of a bounded labelled sample, word
+beginnings, a fixed list of insults, and patterns of the marked words in a text (see Voters). The votes of every document of the
 learning fold are counted by pattern (at most 2^voters counts), and a generative model with a hidden class explains
 the counts: EM estimates each voter's rates in either class, voters that stay correlated within the classes are put
 into cliques with a joint table, and EM runs again. The model's posteriors label a bounded sample, on which a linear
@@ -28,16 +28,18 @@ from pyspark.sql import functions as F
 from .common import Memo, batches, cut, id_text
 from .labelled import fold, sample
 
-SAMPLE, TRAIN, WORD_VOTERS, STEM_VOTERS, BUCKETS = 6000, 6000, 5, 4, 1 << 18
-STEMS, LIFT, LEAST, CLIQUE, TIED = (4, 5, 6), 20.0, 4, 3, 0.25
-SHARE = 0.01
+SAMPLE, TRAIN, BUCKETS = 6000, 6000, 1 << 18
+STEMS, LIFT, WEAK, LEAST, CLIQUE, TIED = (4, 5, 6), 20.0, 14.0, 4, 4, 0.25
+#: Share of marked words that is dense, and how many words apart marked ones are close.
+SHARE, NEAR = 0.01, 5
 #: A plain list of common English insults.
 INSULTS = frozenset("idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool jerk garbage hate ugly".split())
 WORDS = re.compile(r"\w+").findall
 
 
-def marks(rows: list[tuple[str, float]]) -> tuple[list[str], list[str]]:
-    """Words and word beginnings that are LIFT times as common in toxic documents as in others."""
+def marks(rows: list[tuple[str, float]]) -> tuple[list[str], list[str], list[str]]:
+    """Words that are LIFT times as common in toxic documents as in others, words that are WEAK times so, and word
+    beginnings that are LIFT times so."""
     seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
     forms: dict[str, set[str]] = defaultdict(set)
     total = Counter()
@@ -52,43 +54,50 @@ def marks(rows: list[tuple[str, float]]) -> tuple[list[str], list[str]]:
                     if len(w) > n and len(forms[w[:n] + "*"]) < 9:
                         forms[w[:n] + "*"].add(w)
     if not total[True] or not total[False]:
-        return [], []
+        return [], [], []
     lift = {k: (n / total[True]) / ((seen[False][k] + 0.5) / total[False]) for k, n in seen[True].items() if n >= LEAST}
     strong = sorted(k for k, v in lift.items() if v >= LIFT)
     stems: list[str] = []
     for k in sorted((k for k in strong if k.endswith("*")), key=len):
         if len(forms[k]) >= 5 and not any(k.startswith(s[:-1]) for s in stems):
             stems.append(k)
-    return [k for k in strong if not k.endswith("*") and not any(k.startswith(s[:-1]) for s in stems)], stems
+    words = [k for k in sorted(lift) if not k.endswith("*") and lift[k] >= WEAK and not any(k.startswith(s[:-1]) for s in stems)]
+    return [k for k in words if lift[k] >= LIFT], [k for k in words if lift[k] < LIFT], stems
 
 
 class Voters:
-    """Each gives one bit; bit sets are ints."""
+    """Each votes by a source of its own and gives one bit; bit sets are ints. WORD: a lexicon of strong words and one
+    of weaker ones, the beginnings of words, the fixed list. TEXT: how dense marked words are, whether several
+    different ones occur, whether some stand close together, whether one is written in capitals."""
 
-    def __init__(self, words: list[str], stems: list[str]):
-        self.word = {w: 1 << (zlib.crc32(w.encode()) % WORD_VOTERS) for w in words}
-        self.stem = {s[:-1]: 1 << (WORD_VOTERS + zlib.crc32(s.encode()) % STEM_VOTERS) for s in stems}
-        self.count = WORD_VOTERS + STEM_VOTERS + 2
-        self.listed, self.dense = 1 << (self.count - 2), 1 << (self.count - 1)
+    WORD, TEXT = ("strong", "weak", "beginnings", "list"), ("dense", "several", "close", "capitals")
+
+    def __init__(self, strong: list[str], weak: list[str], stems: list[str]):
+        self.word = dict.fromkeys(weak, 2) | dict.fromkeys(strong, 1)
+        self.stem = {s[:-1] for s in stems}
+        self.count = len(self.WORD) + len(self.TEXT)
 
     def caster(self):
+        first = len(self.WORD)
+        dense, several, close, capitals = (1 << (first + k) for k in range(len(self.TEXT)))
+
         def of(word: str) -> int:
             w = word.lower()
-            v = self.word.get(w, 0) | (self.listed if w in INSULTS else 0)
-            for n in STEMS:
-                if len(w) > n:
-                    v |= self.stem.get(w[:n], 0)
-            return v
+            return self.word.get(w, 0) | any(w[:n] in self.stem for n in STEMS if len(w) > n) << 2 | (w in INSULTS) << 3
 
         memo = Memo(of)
 
         def votes(text: str) -> int:
             words = WORDS(text)
-            hit = [v for v in map(memo.__getitem__, words) if v]
+            cast = list(map(memo.__getitem__, words))
+            at = [k for k, v in enumerate(cast) if v]
             out = 0
-            for v in hit:
-                out |= v
-            return out | (self.dense if len(hit) > SHARE * len(words) else 0)
+            for k in at:
+                out |= cast[k]
+            if at:
+                out |= dense * (len(at) > SHARE * len(words)) | close * any(b - a <= NEAR for a, b in zip(at, at[1:]))
+                out |= several * (len({words[k].lower() for k in at}) > 1) | capitals * any(words[k].isupper() for k in at)
+            return out
 
         return votes
 
