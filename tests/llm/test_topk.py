@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from depsight.llm import topk
@@ -51,3 +52,18 @@ def test_ties_few_rows_large_values_and_empty(spark):
     big = [(0, [float(2**20)] * 4), (1, [float(2**10)] * 4), (2, [-1.0] * 4)]
     assert run(spark, big) == brute(big, 10)
     assert run(spark, []) == set()
+
+
+def test_blocks_below_the_kth_score_are_passed_over():
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 16)) * 900
+    c = np.floor(centres[r.integers(0, 40, 2048)] + r.normal(size=(2048, 16)) * 40).astype(np.int64)
+    order, q = topk.arranged(c), c[:50]
+    assert sorted(order.tolist()) == list(range(2048))
+    scored: list[int] = []
+    got = {i: (ids, x) for i, ids, x in topk.best_of(q, np.arange(50), c[order], order, 10, np.full(50, -np.inf), scored)}
+    for i in range(50):
+        every = c @ q[i]
+        every[i] = np.iinfo(np.int64).min
+        assert sorted(got[i][1], reverse=True)[:10] == sorted(every, reverse=True)[:10]
+    assert sum(scored) < 0.6 * 50 * 2048 / topk.BLOCK
