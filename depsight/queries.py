@@ -874,11 +874,6 @@ def d4(g: Graph) -> DataFrame:
     return out
 
 
-@on_graph("d_centrality_driver")
-def d5(g: Graph) -> DataFrame:
-    return drivers.centrality_report(g)
-
-
 @on_graph("d_betweenness_driver")
 def d6(g: Graph) -> DataFrame:
     return drivers.betweenness_report(g).select("rank", "node_id", F.round("centrality", 8).alias("centrality"))
