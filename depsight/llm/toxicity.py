@@ -193,22 +193,22 @@ class Linear:
         y = np.array([p for _, p in rows])
         if not len(y) or y.sum() < 1e-3 * len(y):
             return cls()
-        counted, in1, in0 = [], Counter(), Counter()
+        counted, in1, in0 = [], np.zeros(BUCKETS), np.zeros(BUCKETS)
         for text, p in rows:
             c = keys(text)
-            counted.append(c)
-            for k in c:
-                (in1 if p >= 0.5 else in0)[k] += 1
+            own = np.fromiter(c.keys(), np.int32, len(c))  # arrays, as counters of all rows would fill the driver
+            counted.append((own, np.fromiter(c.values(), np.int32, len(c))))
+            (in1 if p >= 0.5 else in0)[own] += 1
+        _KEYS.clear()
+        _KEYS.old = {}
         n1, n0 = max(1, int((y >= 0.5).sum())), max(1, int((y < 0.5).sum()))
-        ratio = {k: math.log(((in1[k] + 0.5) / (n1 + 1)) / ((in0[k] + 0.5) / (n0 + 1))) for k in in1 if in1[k] >= 3}
-        chosen = sorted(k for k, v in ratio.items() if v > math.log(15.0))
-        at = {k: i for i, k in enumerate(chosen)}
-        rws, cols, vals = [], [], []
-        for r, c in enumerate(counted):
-            for k, n in c.items():
-                if k in at:
-                    rws.append(r), cols.append(at[k]), vals.append(1 + math.log(n))
-        rws, cols, vals = np.array(rws, int), np.array(cols, int), np.array(vals)
+        ratio = np.log(((in1 + 0.5) / (n1 + 1)) / ((in0 + 0.5) / (n0 + 1)))
+        chosen = np.flatnonzero((in1 >= 3) & (ratio > math.log(15.0)))
+        at = np.full(BUCKETS, -1)
+        at[chosen] = np.arange(len(chosen))
+        rws = np.concatenate([np.full(len(k), r) for r, (k, _) in enumerate(counted)])
+        cols, vals = at[np.concatenate([k for k, _ in counted])], 1 + np.log(np.concatenate([n for _, n in counted]))
+        rws, cols, vals = rws[cols >= 0], cols[cols >= 0], vals[cols >= 0]
         w, bias, vel, vb = np.zeros(len(chosen)), -2.0, np.ones(len(chosen)) * 1e-6, 1e-6
         for _ in range(rounds):
             z = np.bincount(rws, vals * w[cols], len(y)) + bias if len(rws) else np.full(len(y), bias)
@@ -219,7 +219,7 @@ class Linear:
             vb += err.sum() ** 2
             bias -= rate * err.sum() / math.sqrt(vb)
         self = cls(float(bias))
-        self.weights = {k: float(v) for k, v in zip(chosen, w) if abs(v) > 1e-3}
+        self.weights = {int(k): float(v) for k, v in zip(chosen, w) if abs(v) > 1e-3}
         return self
 
     def scorer(self):
