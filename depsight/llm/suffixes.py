@@ -16,8 +16,8 @@ prefix of LENGTH bytes or more start repeated strings; the same prefixes show th
 which only passages of over WORDS words are reported and nothing is removed. Collections stream from the sorted
 shuffle files in blocks of about BLOCK documents.
 
-Groups of one core that hold more than a SHARE-th of all contexts (at least HOT), or more than MOST, do not meet in a task: their strings are compared as hashes of
-the bytes around the core, over pieces of the start places first, and start by start where pieces differ.
+Groups of one core that hold more than MOST different contexts do not meet in a task: their strings are compared as
+hashes of the bytes around the core, over pieces of the start places first, and start by start where pieces differ.
 
 Defined results: null is the empty text; texts under LENGTH bytes and empty texts keep all bytes; rows of equal text
 remove each other's bytes, repeated rows and equal or null ids included; self-overlapping strings count; an empty
@@ -38,10 +38,12 @@ from .common import batches, free, spool
 
 LENGTH, SHORT, WORDS, CORE = 400, 256, 50, 64
 SIDE, NEAR = LENGTH - CORE, SHORT - CORE  # also the largest start places of strings in a context
-BLOCK, HOT, SHARE, MOST, PIECE = 4096, 500, 200, 20000, 43
+BLOCK, MOST, PIECE = 4096, 20000, 43
 NO_ID = -(1 << 63)
 _R = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
+#: A range of start places is one number: whether its strings are long, and its first and last place, raised by LIFT.
+LIFT, _HIGH, _PLACE = 1024, 1 << 31, (1 << 31) - 1
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +127,19 @@ def repeats(symbols: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-def runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
-    """Starts and last places of the runs of true, counted from the anchor."""
+def packed(long: bool, lo: np.ndarray | int, hi: np.ndarray | int):
+    return (int(long) << 62) + (lo + LIFT) * _HIGH + (hi + LIFT)
+
+
+def unpacked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether long, first and last places."""
+    return x >> 62 > 0, (x >> 31 & _PLACE) - LIFT, (x & _PLACE) - LIFT
+
+
+def runs(flags: np.ndarray, long: bool) -> list[int]:
+    """The runs of true, counted from the anchor."""
     edge = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
-    return (np.flatnonzero(edge == 1) - SIDE).tolist(), (np.flatnonzero(edge == -1) - 1 - SIDE).tolist()
+    return packed(long, np.flatnonzero(edge == 1) - SIDE, np.flatnonzero(edge == -1) - 1 - SIDE).tolist()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -168,7 +179,7 @@ def _contexts(joined: DataFrame) -> DataFrame:
 
 
 def _collections(contexts: DataFrame) -> DataFrame:
-    """(a, s, long, lo, hi): runs of repeated starts (of strings of LENGTH, or of SHORT) around the anchors of each
+    """(a, s, x): packed runs of repeated starts (of strings of LENGTH, or of SHORT) around the anchors of each
     context, from blocks of whole collections."""
 
     def block(a: list, s: list, lead: list, tail: list) -> pa.RecordBatch:
@@ -181,9 +192,9 @@ def _collections(contexts: DataFrame) -> DataFrame:
             symbols[SIDE + 1 : SIDE + 1 + len(y), k] = y
             symbols[SIDE + 1 : SIDE + 1 + len(y), k] += 1
         symbols[SIDE] = np.unique(np.array(a), return_inverse=True)[1] + 1
-        got = [(a[k], s[k], long, *runs(flags[k])) for long, flags in zip((True, False), repeats(symbols, (SIDE + 1, NEAR + 1))) for k in np.flatnonzero(flags.any(axis=1))]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], ["a", "s", "long", "lo", "hi"])
+        got = [(a[k], s[k], runs(flags[k], long)) for long, flags in zip((True, False), repeats(symbols, (SIDE + 1, NEAR + 1))) for k in np.flatnonzero(flags.any(axis=1))]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], ["a", "s", "x"])
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
@@ -197,10 +208,10 @@ def _collections(contexts: DataFrame) -> DataFrame:
         if held[0]:
             yield block(*held)
 
-    return contexts.repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, s long, long boolean, lo array<int>, hi array<int>")
+    return contexts.repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, s long, x array<long>")
 
 
-def _hot(contexts: DataFrame, side: int) -> DataFrame:
+def _hot(contexts: DataFrame, side: int, long: bool) -> DataFrame:
     """The same for large groups and strings of one length, by hashes of the bytes around the core: pieces first, then single starts."""
     spans = -(-(side + 1) // PIECE)
     bytes_ = lambda before, after: f"substring(lead, greatest(length(lead) - ({before}), 0) + 1, {before}), least(length(lead), {before}), substring(tail, 1, {after}), least(length(tail), {after})"
@@ -214,50 +225,47 @@ def _hot(contexts: DataFrame, side: int) -> DataFrame:
     starts = spool(starts)
     often = spool(starts.groupBy("h").count().where("count > 1").select("h"))
     single = starts.join(often, "h").select("a", "s", F.col("i").alias("i0"), F.col("i").alias("i1"))
-    return same.unionByName(single).groupBy("a", "s").agg(F.collect_set(F.struct("i0", "i1")).alias("x")).select("a", "s", F.expr(f"transform(x, y -> y.i0 - {side})").alias("lo"), F.expr(f"transform(x, y -> y.i1 - {side})").alias("hi"))
+    place = f"{int(long) << 62}L + (y.i0 - {side} + {LIFT}) * {_HIGH}L + (y.i1 - {side} + {LIFT})"
+    return same.unionByName(single).groupBy("a", "s").agg(F.collect_set(F.struct("i0", "i1")).alias("x")).select("a", "s", F.expr(f"transform(x, y -> {place})").alias("x"))
 
 
 def repeated_starts(texts: DataFrame) -> DataFrame:
-    """(doc, th, starts): array of (lo, hi) places at which repeated strings start, for each text with any."""
+    """(doc, th, starts): packed ranges of the places at which repeated strings start, for each text with any."""
     rows = spool(_anchor_rows(texts))
     often = spool(rows.groupBy("a").count().where("count > 1").select("a"))
     members = spool(rows.join(often, "a"))
     free(rows, often)
     kinds = spool(members.groupBy("a", "s", "wide").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("one")))
     groups = spool(kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    total = groups.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
-    hot = min(max(total // SHARE, HOT), MOST)
-    wanted = spool(kinds.join(groups, "a").select("one.doc", "one.th", F.struct("one.pos", "a", "s", "wide", (F.col("kinds") > hot).alias("hot")).alias("w")).groupBy("doc", "th").agg(F.collect_list("w").alias("wanted")))
+    wanted = spool(kinds.join(groups, "a").select("one.doc", "one.th", F.struct("one.pos", "a", "s", "wide", (F.col("kinds") > MOST).alias("hot")).alias("w")).groupBy("doc", "th").agg(F.collect_list("w").alias("wanted")))
     contexts = spool(_contexts(texts.join(wanted, ["doc", "th"]).select("text", "wanted")))
     free(groups, wanted)
-    starts = lambda long, side: kinds.where("n > 1").select("a", "s", F.lit(long).alias("long"), F.array(F.lit(-side)).alias("lo"), F.array(F.lit(0)).alias("hi"), "wide")
-    all_starts = starts(True, SIDE).where("wide").unionByName(starts(False, NEAR)).drop("wide")
+    again, far, near = kinds.where("n > 1"), packed(True, -SIDE, 0), packed(False, -NEAR, 0)
+    all_starts = again.select("a", "s", F.when(F.col("wide"), F.array(F.lit(far), F.lit(near))).otherwise(F.array(F.lit(near))).alias("x"))
     part = _collections(contexts.where("NOT hot"))
     if contexts.where("hot").limit(1).count():
         large = contexts.where("hot")
-        part = part.unionByName(_hot(large.where("wide"), SIDE).withColumn("long", F.lit(True)))
-        near = large.withColumns({"lead": F.expr(f"substring(lead, greatest(length(lead) - {NEAR}, 0) + 1, {NEAR})"), "tail": F.expr(f"substring(tail, 1, {NEAR})")})
-        part = part.unionByName(_hot(near, NEAR).withColumn("long", F.lit(False)))
+        close = large.withColumns({"lead": F.expr(f"substring(lead, greatest(length(lead) - {NEAR}, 0) + 1, {NEAR})"), "tail": F.expr(f"substring(tail, 1, {NEAR})")})
+        part = part.unionByName(_hot(large.where("wide"), SIDE, True)).unionByName(_hot(close, NEAR, False))
     part = spool(part)
     free(contexts)
-    found = spool(all_starts.unionByName(part).select("a", "s", F.explode(F.arrays_zip("lo", "hi")).alias("x"), "long").groupBy("a", "s").agg(F.collect_set(F.struct("long", "x.lo", "x.hi")).alias("x")))
-    spans = members.join(found, ["a", "s"]).select("doc", "th", "pos", F.explode("x").alias("x")).select("doc", "th", "x.long", (F.col("pos") + F.col("x.lo")).alias("lo"), (F.col("pos") + F.col("x.hi")).alias("hi")).distinct()
-    out = spool(spans.groupBy("doc", "th").agg(F.collect_list(F.struct("long", "lo", "hi")).alias("starts")))
+    found = spool(all_starts.unionByName(part).select("a", "s", F.explode("x").alias("x")).groupBy("a", "s").agg(F.collect_set("x").alias("x")))
+    spans = members.join(found, ["a", "s"]).select("doc", "th", F.explode(F.transform("x", lambda x: x + F.col("pos").cast("long") * (_HIGH + 1))).alias("x"))
+    out = spool(spans.groupBy("doc", "th").agg(F.collect_set("x").alias("starts")))
     free(members, kinds, part, found)
     return out
 
 
-def covered(starts: list[dict], size: int, length: int = LENGTH) -> list[tuple[int, int]]:
+def covered(lo: np.ndarray, hi: np.ndarray, size: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by strings of this length that start in the given ranges."""
-    out: list[list[int]] = []
-    for lo, hi in sorted((max(x["lo"], 0), min(x["hi"], size - length)) for x in starts):
-        if lo > hi:
-            continue
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + length)
-        else:
-            out.append([lo, hi + length])
-    return [(a, b) for a, b in out]
+    lo, hi = np.maximum(lo, 0), np.minimum(hi, size - length)
+    lo, hi = lo[lo <= hi], hi[lo <= hi]
+    if not len(lo):
+        return []
+    order = np.argsort(lo, kind="stable")
+    lo, end = lo[order], np.maximum.accumulate(hi[order] + length)
+    first = np.flatnonzero(np.append(True, lo[1:] > end[:-1]))
+    return list(zip(lo[first].tolist(), end[np.append(first[1:] - 1, len(end) - 1)].tolist()))
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -269,11 +277,13 @@ def removed(docs: DataFrame) -> DataFrame:
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 256):
-            out = []
-            for doc_id, text, starts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "starts"))):
-                raw = text.encode()
-                gone = covered([x for x in starts or () if x["long"]], len(raw))
-                shared = covered([x for x in starts or () if not x["long"]], len(raw), SHORT)
+            out, starts = [], b.column("starts")
+            places, edges = starts.values.to_numpy(), starts.offsets.to_numpy().tolist()
+            for doc_id, text, x, y in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), edges, edges[1:]):
+                raw, gone, shared = text.encode(), [], []
+                if y > x:
+                    long, lo, hi = unpacked(places[x:y])
+                    gone, shared = covered(lo[long], hi[long], len(raw)), covered(lo[~long], hi[~long], len(raw), SHORT)
                 at, kept = 0, []
                 for x, y in gone:
                     kept.append(raw[at:x])
@@ -298,7 +308,8 @@ def brute(texts: list[str]) -> list[tuple[int, int, int, str, int]]:
     seen = {n: Counter(r[i : i + n] for r in raws for i in range(len(r) - n + 1)) for n in (LENGTH, SHORT)}
     out = []
     for r in raws:
-        gone, shared = (covered([{"lo": i, "hi": i} for i in range(len(r) - n + 1) if seen[n][r[i : i + n]] > 1], len(r), n) for n in (LENGTH, SHORT))
+        places = {n: np.array([i for i in range(len(r) - n + 1) if seen[n][r[i : i + n]] > 1], np.int64) for n in (LENGTH, SHORT)}
+        gone, shared = (covered(places[n], places[n], len(r), n) for n in (LENGTH, SHORT))
         mask = np.ones(len(r), bool)
         for x, y in gone:
             mask[x:y] = False
