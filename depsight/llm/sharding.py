@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from .common import spool
+from .common import free, spool
 
 BUCKET_ROWS, BUCKET_BYTES, SUPER = 4096, 16 << 20, 4096
 
@@ -68,7 +68,7 @@ def shuffled(df: DataFrame, seed: int = 17, bucket_rows: int = BUCKET_ROWS, buck
     supers = counts.groupBy("super").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(before), F.lit(0)))
     inside = Window.partitionBy("super").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     block, draws, fold = _permutation(seed)
-    perms = (
+    perms = spool(
         counts.join(supers, "super")
         .withColumn("offset", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .repartition(max(1, -(-buckets // 4)), "bucket")  # a fixed number: these small rows cost much time each
@@ -76,8 +76,10 @@ def shuffled(df: DataFrame, seed: int = 17, bucket_rows: int = BUCKET_ROWS, buck
         .select("bucket", "offset", F.expr(fold).alias("perm"))
     )
     ranked = scattered.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 2), "tie", "copy"), "tie", "copy")) - 1)
-    placed = ranked.join(spool(perms), "bucket").select("row", (F.col("offset") + F.get("perm", F.col("r"))).alias("pos"))
-    return spool(placed.sortWithinPartitions("pos"), "buckets"), total
+    placed = ranked.join(perms, "bucket").select("row", (F.col("offset") + F.get("perm", F.col("r"))).alias("pos"))
+    written = spool(placed.sortWithinPartitions("pos"), "buckets")
+    free(counts, perms)
+    return written, total
 
 
 def place(pos: Column, total: int, shards: int) -> tuple[Column, Column]:
