@@ -236,6 +236,8 @@ def components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
 
 #: Near-duplicate stage: words of a wide fingerprint, bits apart in any one of them, words in a shingle, similarity, rows of a split key.
 WORDS, NEAR, WIDTH, SIMILAR, MEET = 8, 3, 5, 0.8, 4096
+#: Bits of a set's bitmap: the lowest bits of its hashes that occur.
+MAP = 2048
 
 
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
@@ -265,7 +267,7 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
 
 def wide_prints(texts: DataFrame, width: int = WIDTH, words: int = WORDS) -> DataFrame:
-    """doc, th, the hash sid of the text's set of shingles, and the words of the fingerprint."""
+    """doc, th, the hash sid of the text's set of shingles, its size n and bitmap, and the words of the fingerprint."""
     names = [f"p{k}" for k in range(words)]
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +275,38 @@ def wide_prints(texts: DataFrame, width: int = WIDTH, words: int = WORDS) -> Dat
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             x = np.stack([wide_print(h, words) for h in sets]).view(np.int64)
             sid = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), pa.array(sid), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(words))], ["doc", "th", "sid", *names])
+            maps = []
+            for h in sets:
+                bits = np.zeros(MAP, bool)
+                bits[(h & np.uint64(MAP - 1)).astype(np.int64)] = True
+                maps.append(np.packbits(bits).tobytes())
+            n = pa.array([len(h) for h in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), pa.array(sid), n, pa.array(maps, pa.binary()), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(words))], ["doc", "th", "sid", "n", "map", *names])
 
-    return texts.mapInArrow(run, "doc long, th long, sid long, " + ", ".join(f"{n} long" for n in names))
+    return texts.mapInArrow(run, "doc long, th long, sid long, n int, map binary, " + ", ".join(f"{n} long" for n in names))
+
+
+def plausible(pairs: DataFrame, reps: DataFrame, similar: float) -> DataFrame:
+    """The pairs (u, v) that may be similar by their bitmaps, which is exact: each bit that only one set has is a shingle
+    that the other lacks, so the sets share no more than the rest."""
+    share = Fraction(str(similar))
+    num, den = share.numerator, share.denominator
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 8192):
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
+            n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            yield b.select(["u", "v"]).filter(pa.array((num + den) * most >= num * (n + m)))
+
+    one, other = reps.select(F.col("sid").alias("u"), "n", F.col("map").alias("x")), reps.select(F.col("sid").alias("v"), F.col("n").alias("m"), F.col("map").alias("y"))
+    return pairs.join(one, "u").join(other, "v").select("u", "v", "n", "m", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def star(pairs: DataFrame) -> DataFrame:
+    """Of each node's pairs those with its least and its greatest partner, which keep together what the pairs connect."""
+    some = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.array(F.min("v"), F.max("v")).alias("vs"))
+    return some.select("u", F.explode("vs").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def verified(pairs: DataFrame, holders: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
@@ -397,16 +428,14 @@ def near_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -
     """
     texts, names = keyed_texts(docs), [f"p{k}" for k in range(WORDS)]
     ids = spool(wide_prints(texts, width))
-    reps = spool(ids.groupBy("sid").agg(F.min(F.struct("doc", "th")).alias("one"), *(F.first(c).alias(c) for c in names)))
+    reps = spool(ids.groupBy("sid").agg(F.min(F.struct("doc", "th")).alias("one"), *(F.first(c).alias(c) for c in ("n", "map", *names))))
     holders = reps.select("sid", "one.doc", "one.th")
     plans = [allocate(n, both, NEAR) for n, both in bit_moments(reps, *names)]
     keys = [F.struct(k.alias("key"), F.col(c).alias("fp")) for i, (c, plan) in enumerate(zip(names, plans)) for k in keys_of(c, plan, i)]
     if not keys:
         return ids.select("doc", "th", "sid", F.col("sid").alias("component"))
     near = spool(links(reps.select(F.col("sid").alias("rep"), F.explode(F.array(*keys)).alias("k")).select("rep", "k.*"), NEAR).distinct())
-    some = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.array(F.min("v"), F.max("v")).alias("vs"))
-    some = some.select("u", F.explode("vs").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    some = spool(some)
+    some = spool(plausible(star(near), reps, similar))
     free(near)
     sure = verified(some, holders, texts, width, similar)
     found = spool(connected_components(sure))
@@ -418,9 +447,19 @@ def near_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -
     more = spool(sharing(sets, common, width, similar))
     del sets
     free(found)
-    rest = verified(more, holders, texts, width, similar)
-    last = spool(connected_components(sure.unionByName(rest)))
-    free(more, reps, sure, rest)
+    likely = spool(plausible(more, reps, similar))
+    free(more)
+    # A few pairs of each text are looked at first, as what they connect needs no more of them.
+    few = spool(star(likely))
+    sure = sure.unionByName(verified(few, holders, texts, width, similar))
+    free(few)
+    found = spool(connected_components(sure))
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    open_ = likely.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    open_ = spool(open_)
+    sure = sure.unionByName(verified(open_, holders, texts, width, similar))
+    last = spool(connected_components(sure))
+    free(likely, open_, found, reps)
     return ids.join(last, ids["sid"] == last["node"], "left").select("doc", "th", "sid", F.coalesce("component", "sid").alias("component"))
 
 
