@@ -29,7 +29,7 @@ from .common import Memo, batches, cut, id_text
 from .labelled import fold, sample
 
 SAMPLE, TRAIN, BUCKETS = 6000, 6000, 1 << 18
-STEMS, LIFT, WEAK, LEAST, CLIQUE, TIED = (4, 5, 6), 20.0, 14.0, 4, 4, 0.25
+STEMS, LIFT, WEAK, LEAST, CLIQUE, TIED = (4, 5, 6), 20.0, 14.0, 4, 3, 0.25
 #: Share of marked words that is dense, and how many words apart marked ones are close.
 SHARE, NEAR = 0.01, 5
 #: A plain list of common English insults.
