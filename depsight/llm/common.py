@@ -26,10 +26,13 @@ def id_text(df: DataFrame) -> DataFrame:
 
 
 def batches(it: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Small slices of Arrow batches, so that decoded texts stay few at a time."""
+    """Small slices of Arrow batches, so that decoded texts stay few at a time. What Arrow's pool keeps of earlier
+    batches goes back to the system."""
     for b in it:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        del b
+        pa.default_memory_pool().release_unused()
 
 
 class Memo(dict):

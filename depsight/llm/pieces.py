@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import threading
 import zlib
 from array import array
 from collections import Counter
@@ -36,7 +37,10 @@ SPACE, LITERAL, N = "▁", "\ud800", 4
 LETTERS, LONG = 192, 40
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
+#: Seconds after which a worker without work forgets its lattices, as it may go on to other stages.
+IDLE = 2.0
 MODELS: dict[str, Lattice] = {}
+_IDLE: list[threading.Timer] = []
 
 
 class Lattice:
@@ -85,10 +89,20 @@ class Lattice:
     @classmethod
     def of(cls, path: str) -> Lattice:
         """One for each worker process."""
+        while _IDLE:
+            _IDLE.pop().cancel()
         if path not in MODELS:
             MODELS[path] = cls(path)
         return MODELS[path]
 
+    def rest(self) -> None:
+        """The worker goes on to other work, maybe with this lattice: it keeps what it learned last for a while."""
+        self.whole.old, self.part.old = {}, {}
+        timer = threading.Timer(IDLE, MODELS.clear)
+        timer.daemon = True
+        _IDLE.append(timer)
+        timer.start()
+
     def split(self, text: str) -> list[str]:
         if not text:
             return []
@@ -385,6 +399,6 @@ def encode(docs: DataFrame, model: str, n: int = N) -> DataFrame:
             offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), "<i4")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(sizes, pa.int32()), pa.array(scores, pa.list_(pa.float64())), pa.array(others, _OTHERS), pa.array(crcs, pa.int64()), pa.array(same)], NAMES)
-        lattice.whole.old, lattice.part.old = {}, {}  # the worker goes on to other work
+        lattice.rest()
 
     return id_text(docs).mapInArrow(run, SCHEMA)
